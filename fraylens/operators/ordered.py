@@ -112,33 +112,36 @@ def islands(
     keys: Sequence[str],
     start: str,
     end: str,
-    gap_seconds: float,
+    gap_seconds: float | str,
     bucket_seconds: float,
     totals: dict[str, Column] | None = None,
     index: str = "period_index",
 ) -> DataFrame:
     """Merge intervals of a key whose distance is at most ``gap_seconds``.
 
+    ``gap_seconds`` is a number or the name of a column that is constant per key.
+
     A new island starts only when ``start`` lies more than the gap after every earlier
     ``end``. ``totals`` are summed. Islands are first built inside each time slice, where
     they shrink the data to at most one row per gap, and then stitched per key.
     """
     totals = totals or {}
-    gap = int(round(gap_seconds * 1e6))
+    seconds = F.col(gap_seconds) if isinstance(gap_seconds, str) else F.lit(float(gap_seconds))
+    gap = F.round(seconds * 1e6).cast("long")
     cols = [F.col(k) for k in keys]
     rows = df.select(
-        *cols, F.col(start).alias("__start"), F.col(end).alias("__end"),
+        *cols, F.col(start).alias("__start"), F.col(end).alias("__end"), gap.alias("__gap"),
         *[v.alias(n) for n, v in totals.items()],
         time_bucket(start, bucket_seconds).alias(BUCKET))
 
     def merge(data: DataFrame, group: list[str], number: str) -> DataFrame:
         order = Window.partitionBy(*group).orderBy("__start", "__end")
         reach = F.max("__end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        opens = reach.isNull() | (F.unix_micros("__start") - F.unix_micros(reach) > gap)
+        opens = reach.isNull() | (F.unix_micros("__start") - F.unix_micros(reach) > F.col("__gap"))
         numbered = data.withColumn("__open", opens.cast("long")).withColumn(
             number, F.sum("__open").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         return numbered.groupBy(*group, number).agg(
-            F.min("__start").alias("__start"), F.max("__end").alias("__end"),
+            F.min("__start").alias("__start"), F.max("__end").alias("__end"), F.max("__gap").alias("__gap"),
             *[F.sum(n).alias(n) for n in totals])
 
     pieces = merge(rows, [*keys, BUCKET], "__piece")
