@@ -39,13 +39,19 @@ ev AS (
 """
 
 
+# Prices as whole cents: sums are exact, so averages do not depend on the order of addition.
+CENTS = {"orders": "o_totalprice", "lineitem": "l_extendedprice"}
+CENTS_SQL = ", ".join(
+    f"{t} AS (SELECT * REPLACE (CAST(round({c} * 100) AS BIGINT) AS {c}) FROM {t})" for t, c in CENTS.items())
+
+
 class Tables:
     """Reads the given tables; timestamps without zone become UTC timestamps."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, cents: bool = False):
         if spark.conf.get("spark.sql.session.timeZone") != "UTC":
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.cents = spark, folder, cents
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
@@ -53,18 +59,27 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(self.path(name))
         zoneless = [f.name for f in df.schema if isinstance(f.dataType, TimestampNTZType)]
-        return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
+        df = df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
+        if self.cents and name in CENTS:
+            df = df.withColumn(CENTS[name], F.round(F.col(CENTS[name]) * 100).cast("long"))
+        return df
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(tables) -> DataFrame``; a text starting with EV gets the stand-in CTEs."""
+def query(name: str, sql: str | None = None, cents: bool = False):
+    """Register ``fn(tables) -> DataFrame``. ``{EV}`` stands for the stand-in CTEs; with
+    ``cents`` both sides read prices as whole cents."""
 
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder, cents))
         if sql is not None:
-            ORACLE[name] = sql.replace("{EV}", EV.strip())
+            text = sql.replace("{EV}", EV.strip())
+            if cents:
+                text = text.strip()
+                rest = ", " + text[5:] if text.upper().startswith("WITH ") else " " + text
+                text = "WITH " + CENTS_SQL + rest
+            ORACLE[name] = text
         return fn
 
     return register

@@ -254,7 +254,7 @@ def _(t: Tables):
 
 @query("a17_player_totals", """SELECT o_custkey, count(*) AS encounters, round(avg(o_totalprice), 4) AS avg_dps, round(avg(o_orderkey % 100), 4) AS avg_hps, max(o_totalprice) AS best_dps,
   CAST(sum(o_orderkey % 3) AS BIGINT) AS deaths, round(count(*) FILTER (o_orderstatus = 'F') / count(*), 8) AS success_rate,
-  round(avg(CASE WHEN o_orderkey % 5 > 0 THEN 600 + o_orderkey % 50 END), 4) AS avg_item_level FROM orders GROUP BY 1""")
+  round(avg(CASE WHEN o_orderkey % 5 > 0 THEN 600 + o_orderkey % 50 END), 4) AS avg_item_level FROM orders GROUP BY 1""", cents=True)
 def _(t: Tables):
     k = F.col("o_orderkey")
     rows = t.orders.select("o_custkey", F.col("o_totalprice").alias("dps"), (k % 100).alias("hps"), (k % 3).alias("deaths"),
@@ -331,11 +331,11 @@ def _(t: Tables):
 
 
 @query("a40_wipe_mechanics", f"""WITH {{EV}}, {RECAP}, dd AS (SELECT death_id, CAST(floor(epoch_us(death_ts) / 86400000000) AS BIGINT) AS bucket, cause FROM recap WHERE kind = 'damage' GROUP BY 1, 2, 3),
-n AS (SELECT bucket, count(DISTINCT death_id) AS deaths FROM (SELECT death_id, CAST(floor(epoch_us(death_ts) / 86400000000) AS BIGINT) AS bucket FROM recap) GROUP BY 1 HAVING count(DISTINCT death_id) >= 0.3 * 150),
+n AS (SELECT bucket, count(DISTINCT death_id) AS deaths FROM (SELECT death_id, CAST(floor(epoch_us(death_ts) / 86400000000) AS BIGINT) AS bucket FROM recap) GROUP BY 1 HAVING count(DISTINCT death_id) >= 0.1 * 150),
 k AS (SELECT bucket, cause, count(*) AS killed FROM dd GROUP BY 1, 2), m AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY killed DESC, cause DESC) AS rn FROM k)
 SELECT n.bucket, deaths, cause, killed FROM n JOIN m ON m.bucket = n.bucket AND rn = 1""")
 def _(t: Tables):
-    return M.wipe_mechanics(user_recap(t), F.lit(150), 86400, 0.3)
+    return M.wipe_mechanics(user_recap(t), F.lit(150), 86400, 0.1)
 
 
 @query("a41_survival_issues", f"""WITH {{EV}}, {RECAP},
