@@ -109,6 +109,7 @@ SPECIAL_PARAMS = {
     "ENCOUNTER_END": 6, "CHALLENGE_MODE_START": 5, "CHALLENGE_MODE_END": 6, "COMBATANT_INFO": 24,
     "PARTY_KILL": 0, "EMOTE": 1,
 }
+BASE_ONLY = ["UNIT_DIED", "UNIT_DESTROYED", "UNIT_DISSIPATES"]
 ADVANCED_BLOCK = 19
 ADVANCED_FAMILIES = "DAMAGE|HEAL|ABSORBED|MISSED|ENERGIZE|DRAIN|LEECH"
 
