@@ -9,6 +9,7 @@ inside a bucket plus the total below it is the exact position in the group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,20 +23,34 @@ def value_bucket(value: Column) -> Column:
     return F.when(value < 0, -size - 1).otherwise(size).cast("long")
 
 
-def positions(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """One row per (groups, value): ``n`` copies, ``below`` smaller rows, ``total`` rows."""
-    counts = (df.filter(F.col(value).isNotNull())
-              .groupBy(*groups, F.col(value).cast("double").alias(value))
-              .agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("__vb", value_bucket(F.col(value))))
-    within = Window.partitionBy(*groups, "__vb").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+def _buckets(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """Rows per (groups, bucket), rows under it and rows of the group; as small as the value range."""
     order = Window.partitionBy(*groups).orderBy("__vb").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
-    buckets = (counts.groupBy(*groups, "__vb").agg(F.sum("n").alias("__bn"))
-               .select(*groups, "__vb", F.coalesce(F.sum("__bn").over(order), F.lit(0)).alias("__under"),
-                       F.sum("__bn").over(whole).alias("total")))
+    counts = (df.filter(F.col(value).isNotNull())
+              .groupBy(*groups, value_bucket(F.col(value).cast("double")).alias("__vb")).agg(F.count(F.lit(1)).alias("__bn")))
+    return counts.select(*groups, "__vb", "__bn", F.coalesce(F.sum("__bn").over(order), F.lit(0)).alias("__under"),
+                         F.sum("__bn").over(Window.partitionBy(*groups)).alias("total"))
+
+
+def positions(df: DataFrame, groups: Sequence[str], value: str, wanted: Sequence[Column] = ()) -> DataFrame:
+    """One row per (groups, value): ``n`` copies, ``below`` smaller rows, ``total`` rows.
+
+    ``wanted`` holds 0-based positions (expressions over ``total``). Only buckets that contain
+    one of them are then looked into, which leaves out nearly all rows before the shuffle.
+    """
+    buckets = _buckets(df, groups, value)
+    if wanted:
+        inside = [(F.col("__under") <= w) & (w < F.col("__under") + F.col("__bn")) for w in wanted]
+        buckets = buckets.filter(reduce(lambda a, b: a | b, inside))
+    rows = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias(value))
+    rows = rows.withColumn("__vb", value_bucket(F.col(value)))
+    keys = [*groups, "__vb"]
+    if wanted:
+        rows = rows.join(buckets.select(*keys), keys, "left_semi")
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    within = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.select("*", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("__in"))
-    return (placed.join(buckets, [*groups, "__vb"])
+    return (placed.join(buckets, keys)
             .select(*groups, value, "n", (F.col("__in") + F.col("__under")).alias("below"), "total"))
 
 
@@ -44,7 +59,9 @@ def percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one column ``<prefix>_pNN`` per point."""
     prefix = prefix or value
-    placed = positions(df, groups, value)
+    last = F.col("total") - 1
+    ranks = [F.lit(float(p)) * last for p in points]
+    placed = positions(df, groups, value, [f(r) for r in ranks for f in (F.floor, F.ceil)])
     out = []
     for p in points:
         rank = F.lit(float(p)) * (F.col("total") - 1)
@@ -61,7 +78,7 @@ def percentiles(
 def value_at(df: DataFrame, groups: Sequence[str], value: str, index: Column, name: str) -> DataFrame:
     """Value at 0-based ``index`` of the descending order; ``index`` may use ``total``."""
     above = F.col("total") - F.col("below") - F.col("n")
-    return (positions(df, groups, value)
+    return (positions(df, groups, value, [F.col("total") - 1 - index])
             .filter((above <= index) & (index < above + F.col("n")))
             .select(*groups, F.col(value).alias(name), F.col("total").alias(f"{name}_of")))
 

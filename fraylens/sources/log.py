@@ -20,6 +20,7 @@ _QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _ARRAY = r"\[[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+\]"
 _TUPLE = r"\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)"
 FIELD = rf'(?:^|,)((?:[^,"\[(]++|{_QUOTED}|{_ARRAY}|{_TUPLE}|["\[(])*+)'
+MARK = "\u0001"
 SPECIAL = ["COMBAT_LOG_VERSION", "ZONE_CHANGE", "MAP_CHANGE", "ENCOUNTER_START", "ENCOUNTER_END",
            "CHALLENGE_MODE_START", "CHALLENGE_MODE_END", "COMBATANT_INFO"]
 
@@ -44,21 +45,27 @@ def tokenize(lines: DataFrame) -> DataFrame:
 
     The offset is kept apart and not applied. Unreadable lines keep a null ``ts``.
     """
-    stamp = F.regexp_replace(F.regexp_extract("line", STAMP, 1), r"\s+", " ")
-    rest = F.regexp_replace(F.regexp_extract("line", STAMP, 3), ",$", "")
-    fields = F.regexp_extract_all(rest, F.lit(FIELD), F.lit(1))
+    cut = F.split(F.regexp_replace("line", STAMP, f"$1{MARK}$2{MARK}$3"), MARK, 3)
+    stamp = F.regexp_replace(F.get("__cut", F.lit(0)), r"\s+", " ")
+    rest = F.get("__cut", F.lit(2))
+    fields = F.regexp_extract_all(F.regexp_replace(rest, ",$", ""), F.lit(FIELD), F.lit(1))
 
     def clean(x: Column) -> Column:
         x = F.trim(x)
         quoted = x.startswith('"') & x.endswith('"') & (F.length(x) > 1)
         return F.when(quoted, x.substr(F.lit(2), F.length(x) - 2)).when(x != "nil", x)
 
-    tokens = F.when(rest != "", F.transform(fields, clean))
-    return lines.select(
-        "*", F.try_to_timestamp(stamp, F.lit("M/d/yyyy H:mm:ss.SSS")).alias("ts"),
-        F.expr(f"try_cast(nullif(regexp_extract(line, r'{STAMP}', 2), '') AS INT)").alias("tz_offset"), tokens.alias("__tokens"),
-    ).select("*", F.get("__tokens", F.lit(0)).alias("event_type"),
-             F.expr("slice(__tokens, 2, greatest(size(__tokens) - 1, 0))").alias("params")).drop("__tokens")
+    read = F.size("__cut") == 3
+    parsed = F.struct(
+        F.when(read, F.try_to_timestamp(stamp, F.lit("M/d/yyyy H:mm:ss.SSS"))).alias("ts"),
+        F.when(read, F.get("__cut", F.lit(1)).try_cast("int")).alias("tz_offset"),
+        F.when(read, F.transform(fields, clean)).alias("tokens"))
+    # one-element explode: later filters on ts or event_type stay above it, so a line is split once
+    d = lines.withColumn("__cut", cut).withColumn("__k", F.explode(F.array(parsed)))
+    n = F.size("__k.tokens")
+    return d.select(
+        *lines.columns, "__k.ts", "__k.tz_offset", F.get("__k.tokens", F.lit(0)).alias("event_type"),
+        F.slice("__k.tokens", F.lit(2), F.greatest(n - 1, F.lit(0))).alias("params"))
 
 
 def to_long(x: Column) -> Column:
@@ -260,11 +267,13 @@ def combatant_info(tokens: DataFrame) -> DataFrame:
         return (x.cast("long") if name in WHOLE else x).alias(name)
 
     keep = [c for c in ("guild_id", "file_id", "block", "line_no") if c in tokens.columns]
-    return d.select(
-        *keep, "ts", F.get("params", F.lit(0)).alias("player_guid"), *[stat(i, n) for i, n in enumerate(STATS)],
+    read = F.struct(
+        F.get("params", F.lit(0)).alias("player_guid"), *[stat(i, n) for i, n in enumerate(STATS)],
         tuples(F.get("params", F.lit(24)), ["id", "spell", "rank"]).alias("talents"),
         long_list(F.get("params", F.lit(25))).alias("pvp_talents"),
         item_list(F.get("params", F.lit(26))).alias("items"), aura_list(F.get("params", F.lit(27))).alias("auras"))
+    # one-element explode: the nested arrays are parsed once however often they are used
+    return d.select(*keep, "ts", F.explode(F.array(read)).alias("__c")).select(*keep, "ts", "__c.*")
 
 
 # --- gear, talents, consumables -------------------------------------------------------------------------
@@ -284,7 +293,7 @@ def gear_snapshots(ci: DataFrame, keys: Sequence[str]) -> DataFrame:
     top = F.aggregate("__worn", F.lit(0.0), lambda a, x: a + x["i"]["ilvl"] * share(x))
     bottom = F.aggregate("__worn", F.lit(0.0), lambda a, x: a + share(x))
     counted = F.size(F.filter("__worn", lambda x: ~x["slot"].isin(L.COSMETIC_SLOTS)))
-    d = ci.withColumn("__worn", worn).withColumns({
+    d = ci.select(*keys, F.explode(F.array(worn)).alias("__worn")).withColumns({
         "average_item_level": F.bround(C.ratio(top, bottom), 2), "total_items": counted})
     d = d.select(*keys, "average_item_level", "total_items", F.explode("__worn").alias("w")).select(*keys, "average_item_level", "total_items", "w.*")
     return d.select(
