@@ -43,6 +43,20 @@ def text_search(
     return page.withColumn("highlight", highlight(F.col(marked), terms)) if marked else page
 
 
+def scoped_search(
+    frames: dict[str, tuple[DataFrame, str, str]], query: str, scope: str = "all", limit: int = 50
+) -> DataFrame:
+    """Search several kinds at once: {kind: (rows, id column, title column)}, or one of them as ``scope``."""
+    kinds = list(frames) if scope == "all" else [scope]
+    out = None
+    for kind in kinds:
+        df, key, title = frames[kind]
+        hits = df.withColumn("score", relevance({title: 1.0}, query.split())).filter("score > 0").select(
+            F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.col(title).alias("title"), "score")
+        out = hits if out is None else out.unionByName(hits)
+    return out.orderBy(F.desc("score"), "kind", "id").limit(limit)
+
+
 def fuzzy_search(df: DataFrame, column: str, query: str, threshold: float = 0.8, max_edits: int = 2) -> DataFrame:
     """Rows within ``max_edits`` and at least ``threshold`` similar; a length test goes first."""
     text, q = F.lower(column), query.lower()

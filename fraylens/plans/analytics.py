@@ -251,3 +251,12 @@ def _(t: Tables):
     out = A.rankings(c, "v", scopes)
     return out.select("c_custkey", *[f"{s}_rank" for s in scopes], F.round("global_percentile", 6).alias("global_percentile"),
                       F.round("class_percentile", 6).alias("class_percentile"))
+
+
+@query("a43_compare_encounters", """WITH g AS (SELECT l_orderkey, avg(l_extendedprice) AS damage, avg(l_quantity) AS hits FROM lineitem WHERE l_orderkey IN (1, 2, 3) GROUP BY 1),
+l AS (SELECT l_orderkey, 'damage' AS metric, damage AS value FROM g UNION ALL SELECT l_orderkey, 'hits', hits FROM g)
+SELECT l.l_orderkey, l.metric, round(l.value, 4) AS value, round(b.value, 4) AS baseline, round(l.value - b.value, 4) AS difference,
+  CASE WHEN l.value > b.value THEN 'improved' WHEN l.value < b.value THEN 'regressed' ELSE 'equal' END AS verdict FROM l JOIN l b ON b.metric = l.metric AND b.l_orderkey = 1 WHERE l.l_orderkey <> 1""", cents=True)
+def _(t: Tables):
+    rows = t.lineitem.select("l_orderkey", F.col("l_extendedprice").cast("double").alias("damage"), F.col("l_quantity").alias("hits"))
+    return A.compare(rows, "l_orderkey", 1, [2, 3], ["damage", "hits"]).withColumns(r("value", "baseline", "difference", digits=4))

@@ -65,20 +65,26 @@ class Tables:
         return df
 
 
-def query(name: str, sql: str | None = None, cents: bool = False):
+def query(name: str, sql: str | None = None, cents: bool = False, longs: tuple[str, ...] = ()):
     """Register ``fn(tables) -> DataFrame``. ``{EV}`` stands for the stand-in CTEs; with
-    ``cents`` both sides read prices as whole cents."""
+    ``cents`` both sides read prices as whole cents, and ``longs`` are 64-bit on both sides."""
+
+    def typed(df: DataFrame) -> DataFrame:
+        return df.withColumns({c: F.col(c).cast("long") for c in longs}) if longs else df
 
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder, cents))
+        QUERIES[name] = lambda spark, folder: typed(fn(Tables(spark, folder, cents)))
         if sql is not None:
             text = sql.replace("{EV}", EV.strip())
             if cents:
                 text = text.strip()
                 rest = ", " + text[5:] if text.upper().startswith("WITH ") else " " + text
                 text = "WITH " + CENTS_SQL + rest
+            if longs:
+                casts = ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' for c in longs)
+                text = f"SELECT * REPLACE ({casts}) FROM ({text})"
             ORACLE[name] = text
         return fn
 

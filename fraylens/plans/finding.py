@@ -176,3 +176,19 @@ WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06' AND event_typ
 def _(t: Tables):
     r = listing.replay(combat_events(t), ["UNIT_DIED", "SPELL_DAMAGE"], F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-06").cast("timestamp"), 100)
     return r.select("line_no", us("ts").alias("at_us"), "marker")
+
+
+@query("t08_character_events", """WITH {EV} SELECT line_no, epoch_us(ts) AS at_us, amount FROM ev WHERE (source_guid = 'Player-12' OR dest_guid = 'Player-12') AND event_type = 'SPELL_HEAL'
+  AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20' ORDER BY ts, line_no LIMIT 500""")
+def _(t: Tables):
+    mine = combat_events(t).filter((F.col("source_guid") == "Player-12") | (F.col("dest_guid") == "Player-12"))
+    r = listing.replay(mine, ["SPELL_HEAL"], F.lit("2024-01-03").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"), 500)
+    return r.select("line_no", us("ts").alias("at_us"), "amount")
+
+
+@query("q01_scoped_search", f"""WITH s AS (SELECT 'character' AS kind, c_custkey::VARCHAR AS id, c_name AS title, {hit_sql('c_name', '00')}::DOUBLE AS score FROM customer
+  UNION ALL SELECT 'spell', p_partkey::VARCHAR, p_name, {hit_sql('p_name', '00')}::DOUBLE FROM part UNION ALL SELECT 'guild', n_nationkey::VARCHAR, n_name, {hit_sql('n_name', '00')}::DOUBLE FROM nation)
+SELECT * FROM s WHERE score > 0 ORDER BY score DESC, kind, id LIMIT 50""")
+def _(t: Tables):
+    return search.scoped_search({"character": (t.customer, "c_custkey", "c_name"), "spell": (t.part, "p_partkey", "p_name"),
+                                 "guild": (t.nation, "n_nationkey", "n_name")}, "00")

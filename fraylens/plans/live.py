@@ -152,3 +152,13 @@ def _(t: Tables):
         write(batch, batch_id)
     live.run_available(stream, "append", twice, f"{path}/state")
     return live.stored(t.spark, f"{path}/out", keys).select(*keys, "end_us")
+
+
+@query("r02_micro_batches", "SELECT 3::BIGINT AS batches, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS checksum FROM events")
+def _(t: Tables):
+    src = pieces(t, "r02src", SHUFFLED)
+    path = work_folder(t.spark, "r02")
+    write = live.batch_writer(f"{path}/out", lambda batch, i: batch.select("line_no").withColumn("batch", F.lit(i)))
+    live.run_available(event_stream(t, src, 1), "append", write, f"{path}/state")
+    return live.stored(t.spark, f"{path}/out").agg(
+        F.count_distinct("batch").alias("batches"), F.count("*").alias("rows"), F.sum("line_no").alias("checksum"))

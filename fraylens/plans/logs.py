@@ -55,7 +55,7 @@ def _(t: Tables):
 @query("s02_tokenize", f"""WITH {{EV}} SELECT line_no, CASE WHEN spell_id <> 7 THEN {MS} END AS ts_us, CASE WHEN spell_id <> 7 THEN -4 END AS tz_offset, CASE WHEN spell_id <> 7 THEN {TYPE} END AS event_type,
   CASE WHEN spell_id = 7 THEN NULL WHEN event_type = 'SPELL_DAMAGE' THEN 20 + 19 * (1 - spell_id % 2) WHEN event_type = 'SPELL_HEAL' THEN 15 + 19 * (1 - spell_id % 2)
     WHEN event_type = 'SPELL_CAST_SUCCESS' THEN 11 WHEN event_type = 'UNIT_DIED' THEN 8 ELSE 13 END AS n_params,
-  CASE WHEN spell_id <> 7 AND event_type <> 'UNIT_DIED' THEN source_name || ', the \\"Bold\\"' END AS source_name FROM ev""")
+  CASE WHEN spell_id <> 7 AND event_type <> 'UNIT_DIED' THEN source_name || ', the \\"Bold\\"' END AS source_name FROM ev""", longs=("n_params", "tz_offset"))
 def _(t: Tables):
     d = log.tokenize(log_lines(t))
     return d.select("line_no", us("ts").alias("ts_us"), "tz_offset", "event_type",
@@ -79,7 +79,7 @@ def _(t: Tables):
   CASE WHEN event_type = 'SPELL_DAMAGE' THEN overkill ELSE 0 END AS overkill, CASE WHEN event_type = 'SPELL_HEAL' THEN overhealing ELSE 0 END AS overhealing,
   CASE event_type WHEN 'SPELL_DAMAGE' THEN 12 ELSE 0 END AS blocked, CASE event_type WHEN 'SPELL_DAMAGE' THEN 34 WHEN 'SPELL_HEAL' THEN 5 ELSE 0 END AS absorbed,
   event_type IN ('SPELL_DAMAGE', 'SPELL_HEAL') AND critical AS critical, CASE event_type WHEN 'SPELL_RESURRECT' THEN 'BUFF' END AS aura_type, CASE event_type WHEN 'SPELL_RESURRECT' THEN 3 END AS stacks
-FROM ev WHERE spell_id <> 7""")
+FROM ev WHERE spell_id <> 7""", longs=("source_flags", "blocked", "absorbed", "stacks"))
 def _(t: Tables):
     d = log.project_events(log.tokenize(log_lines(t)))
     return d.select("line_no", us("ts").alias("ts_us"), "event_type", "source_guid", "dest_guid", "dest_name", "source_flags", "spell_id", "spell_name",
@@ -144,7 +144,7 @@ SLOT_NAMES = "['Head','Neck','Shoulder','Shirt','Chest','Waist','Legs','Feet','W
 
 
 @query("s04_parse_nested", f"""WITH {SLOTS} SELECT l_orderkey AS line_no, count(*) AS items, CAST(sum(l_partkey + 1) AS BIGINT) AS item_sum, CAST(sum(l_partkey + 100050) AS BIGINT) AS gem_sum,
-  CAST(sum(5200 + l_linenumber + l_suppkey) AS BIGINT) AS bonus_sum, '1,0,22,0' AS pvp FROM sl GROUP BY 1""")
+  CAST(sum(5200 + l_linenumber + l_suppkey) AS BIGINT) AS bonus_sum, '1,0,22,0' AS pvp FROM sl GROUP BY 1""", longs=("items",))
 def _(t: Tables):
     d = info(t)
     zero = F.lit(0).cast("long")
@@ -156,7 +156,7 @@ def _(t: Tables):
 
 
 @query("s08_combatant_info", f"""WITH {SLOTS} SELECT l_orderkey AS line_no, 'Player-' || l_orderkey AS player_guid, 1 AS strength, 21 AS armor, 10.0::DOUBLE AS crit_spell, l_orderkey % 300 AS spec_id,
-  string_agg((l_partkey + 1) || ':' || (l_suppkey * 100) || ':' || l_linenumber, ' ' ORDER BY slot) AS talents, string_agg(l_suppkey || 'x' || l_linenumber, ' ' ORDER BY slot) AS auras FROM sl GROUP BY l_orderkey""")
+  string_agg((l_partkey + 1) || ':' || (l_suppkey * 100) || ':' || l_linenumber, ' ' ORDER BY slot) AS talents, string_agg(l_suppkey || 'x' || l_linenumber, ' ' ORDER BY slot) AS auras FROM sl GROUP BY l_orderkey""", longs=("strength", "armor"))
 def _(t: Tables):
     d = info(t)
     talents = F.transform("talents", lambda x: F.concat_ws(":", x["id"], x["spell"], x["rank"]))
@@ -167,7 +167,7 @@ def _(t: Tables):
 @query("s09_gear_snapshots", f"""WITH {SLOTS}, w AS (SELECT *, CASE WHEN slot = 4 THEN 0 WHEN slot = 16 THEN 2 ELSE 1 END AS wt FROM sl WHERE slot <= 18),
 a AS (SELECT l_orderkey, CASE WHEN sum(wt) > 0 THEN round_even(sum(ilvl * wt) / sum(wt), 2) ELSE 0 END AS average_item_level, count(*) FILTER (wt > 0) AS total_items FROM w GROUP BY 1)
 SELECT l_orderkey AS line_no, slot, ({SLOT_NAMES})[slot] AS slot_name, l_partkey + 1 AS item_id, ilvl AS item_level, l_suppkey % 3 AS enchant_id, CASE WHEN l_partkey > 0 THEN (l_partkey + 100000)::VARCHAR ELSE '' END AS gems,
-  50 AS upgrade_level, CASE WHEN l_partkey > 0 THEN '' ELSE '100000,' END || (l_linenumber + 5000) || ',' || (l_suppkey + 200) AS bonus, average_item_level, total_items FROM w JOIN a USING (l_orderkey)""")
+  50 AS upgrade_level, CASE WHEN l_partkey > 0 THEN '' ELSE '100000,' END || (l_linenumber + 5000) || ',' || (l_suppkey + 200) AS bonus, average_item_level, total_items FROM w JOIN a USING (l_orderkey)""", longs=("slot", "upgrade_level", "total_items"))
 def _(t: Tables):
     g = log.gear_snapshots(info(t), ["line_no"])
 
@@ -178,7 +178,7 @@ def _(t: Tables):
 
 
 @query("s10_talent_snapshots", f"""WITH {SLOTS}, c AS (SELECT l_orderkey, count(*) FILTER (l_suppkey > 0) AS total_talents, string_agg((l_suppkey * 100)::VARCHAR, ' ' ORDER BY slot) FILTER (l_suppkey > 0) AS loadout FROM sl GROUP BY 1)
-SELECT l_orderkey AS line_no, slot, l_suppkey * 100 AS spell, l_linenumber AS rank, (slot - 1) // 3 + 1 AS tier, (slot - 1) % 3 + 1 AS "column", loadout, total_talents FROM sl JOIN c USING (l_orderkey) WHERE l_suppkey > 0""")
+SELECT l_orderkey AS line_no, slot, l_suppkey * 100 AS spell, l_linenumber AS rank, (slot - 1) // 3 + 1 AS tier, (slot - 1) % 3 + 1 AS "column", loadout, total_talents FROM sl JOIN c USING (l_orderkey) WHERE l_suppkey > 0""", longs=("slot", "rank", "column", "total_talents"))
 def _(t: Tables):
     return log.talent_snapshots(info(t), ["line_no"])
 
@@ -186,7 +186,7 @@ def _(t: Tables):
 @query("p22_consumables", f"""WITH {SLOTS} SELECT l_orderkey AS line_no, arg_min(431972, slot) FILTER (l_suppkey % 10 = 0) AS flask, arg_min(104273, slot) FILTER (l_suppkey % 10 = 1) AS food,
   coalesce(string_agg((l_suppkey % 3)::VARCHAR, ',' ORDER BY slot) FILTER (slot <= 2 AND l_suppkey % 3 > 0), '') AS weapon_enchants, count(*) * 2 AS total_gems, round(avg(ilvl), 6) AS average_item_level,
   count(*) FILTER (l_suppkey % 10 < 2) > 0 AS has_consumables, count(*) FILTER (slot <= 8 AND l_suppkey % 3 = 0) = 0 AS fully_enchanted,
-  string_agg((l_partkey + 1)::VARCHAR, ',' ORDER BY slot) FILTER (slot <= 10) AS build FROM sl GROUP BY 1""")
+  string_agg((l_partkey + 1)::VARCHAR, ',' ORDER BY slot) FILTER (slot <= 10) AS build FROM sl GROUP BY 1""", longs=("flask", "food", "total_gems"))
 def _(t: Tables):
     c = log.consumables(info(t), ["line_no"])
     return c.withColumn("weapon_enchants", F.array_join(F.transform("weapon_enchants", lambda x: x.cast("string")), ",")).withColumn(

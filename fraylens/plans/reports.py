@@ -153,3 +153,14 @@ def _(t: Tables):
     d = t.orders.join(n, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return d.groupBy(F.col("o_orderstatus").alias("status")).agg(
         F.count("*").alias("logs"), F.sum(F.col("o_orderkey") * 10).alias("bytes"), F.sum("n").alias("events"))
+
+
+@query("s20_markdown_report", """SELECT '| ' || o_orderpriority || ' | ' || count(*) || ' |' AS line FROM orders GROUP BY o_orderpriority""")
+def _(t: Tables):
+    return export.markdown_rows(t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("n")), ["o_orderpriority", "n"])
+
+
+@query("s20_html_report", """SELECT '<tr><td>&lt;' || o_orderpriority || '&gt;</td><td>' || count(*) || '</td></tr>' AS line FROM orders GROUP BY o_orderpriority""")
+def _(t: Tables):
+    g = t.orders.groupBy(F.concat(F.lit("<"), "o_orderpriority", F.lit(">")).alias("name")).agg(F.count("*").alias("n"))
+    return export.html_rows(g, ["name", "n"])

@@ -66,7 +66,7 @@ def _(t: Tables):
         "guild_id": F.lit(1).cast("long")})
 
 
-@query("s22_backfill", """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_mktsegment || '-X-US' END AS server, CASE WHEN c_custkey % 2 = 0 THEN 'EU' ELSE '' END AS region, CASE WHEN c_nationkey > 0 THEN c_nationkey ELSE 1 END AS guild_id FROM customer""")
+@query("s22_backfill", """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_mktsegment || '-X-US' END AS server, CASE WHEN c_custkey % 2 = 0 THEN 'EU' ELSE '' END AS region, CASE WHEN c_nationkey > 0 THEN c_nationkey ELSE 1 END AS guild_id FROM customer""", longs=("guild_id",))
 def _(t: Tables):
     realm = F.when(F.col("c_custkey") % 2 == 0, F.concat("c_mktsegment", F.lit("-EU"))).otherwise(F.concat("c_mktsegment", F.lit("-X-US")))
     d = t.customer.select("c_custkey", realm.alias("realm"), F.col("c_nationkey").cast("long").alias("guild_id"))

@@ -57,3 +57,19 @@ def sheet(df: DataFrame, columns: Sequence[str], digits: int = 1) -> DataFrame:
 
 def text_report(df: DataFrame, pattern: str, columns: Sequence[str], name: str = "line") -> DataFrame:
     return df.select(F.format_string(pattern, *columns).alias(name))
+
+
+def markdown_rows(df: DataFrame, columns: Sequence[str], name: str = "line") -> DataFrame:
+    """Each row as a line of a Markdown table."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias(name))
+
+
+def html_rows(df: DataFrame, columns: Sequence[str], name: str = "line") -> DataFrame:
+    """Each row as an HTML table row with escaped cells."""
+    def cell(c: str) -> Column:
+        text = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(raw), F.lit(safe))
+        return F.concat(F.lit("<td>"), text, F.lit("</td>"))
+    return df.select(F.concat(F.lit("<tr>"), *[cell(c) for c in columns], F.lit("</tr>")).alias(name))

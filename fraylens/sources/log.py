@@ -6,7 +6,7 @@ parameters with quoted strings, ``[arrays]`` and ``(tuples)``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +97,17 @@ def prefix_size(event_type: Column) -> Column:
     return size
 
 
+EXTRA_FIELDS: dict[str, tuple[str, Callable[[Callable[[int], Column]], Column]]] = {}
+
+
+def register_event_field(name: str, pattern: str, value: Callable[[Callable[[int], Column]], Column]) -> None:
+    """Add a column to ``project_events`` for event types that match ``pattern``.
+
+    ``value`` gets ``s(i)``, the i-th parameter behind prefix and unit block, and returns a Column.
+    """
+    EXTRA_FIELDS[name] = (pattern, value)
+
+
 def project_events(tokens: DataFrame) -> DataFrame:
     """One wide typed row per readable line.
 
@@ -175,7 +186,8 @@ def project_events(tokens: DataFrame) -> DataFrame:
         F.when(run_start, to_long(p(3))).when(run_end, to_long(p(2))).alias("keystone_level"),
         F.when(run_start, long_list(p(4))).alias("affixes"),
         F.when(end, to_bool(p(4))).when(run_end, to_bool(p(1))).alias("success"),
-        F.when(end, to_long(p(5))).when(run_end, to_long(p(3))).alias("logged_duration_ms"))
+        F.when(end, to_long(p(5))).when(run_end, to_long(p(3))).alias("logged_duration_ms"),
+        *[F.when(t.rlike(pattern), value(s)).alias(name) for name, (pattern, value) in EXTRA_FIELDS.items()])
 
 
 # --- quality -------------------------------------------------------------------------------------

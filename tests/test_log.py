@@ -110,3 +110,13 @@ def test_run_with_two_bosses(spark):
         ("Raid - Pull 2", "normal", 90, None, None)]
     enc = segments.unified_encounters(b, ["guild_id"]).orderBy("start_ts").collect()
     assert [(e.encounter_type, e.pull_number, e.success) for e in enc] == [("raid", 1, False), ("mythic_plus", 0, True), ("raid", 2, None)]
+
+
+def test_registered_event_field(events):
+    _rows, tokens = events
+    log.register_event_field("max_power", "_ENERGIZE$", lambda s: log.to_long(s(3)))
+    try:
+        got = {r.line_no: r.max_power for r in log.project_events(tokens).collect()}
+    finally:
+        log.EXTRA_FIELDS.clear()
+    assert got[list(LINES).index("energize")] == 100 and got[list(LINES).index("heal")] is None
