@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fraylens.functions import classify as C
 from fraylens.operators import distribution
+from fraylens.operators.ordered import join_keys
 
 # --- registered metrics (extension point of custom aggregations) -----------------------------
 
@@ -44,7 +45,7 @@ def custom_aggregation(
     out = d.groupBy(*group_by).agg(F.count("*").alias("samples"), *aggs).filter(F.col("samples") >= least_samples)
     for m in metrics if percentiles else ():
         p = distribution.percentiles(d, group_by, m, percentiles)
-        out = out.join(p, list(group_by), "left") if group_by else out.select(
+        out = join_keys(out, p, list(group_by), "left") if group_by else out.select(
             "*", *[p.select(c).scalar().alias(c) for c in p.columns])
     return out
 
@@ -152,7 +153,7 @@ def roster(members: DataFrame, guild: str, last_seen: str, now: Column, days: in
 def describe(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
     base = df.groupBy(*keys).agg(
         F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    return base.join(distribution.percentiles(df, keys, value, points, "value"), list(keys))
+    return join_keys(base, distribution.percentiles(df, keys, value, points, "value"), list(keys), "left")
 
 
 def _bounds(df: DataFrame, value: str) -> tuple[Column, Column]:

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fraylens.operators.ordered import join_keys
+
 PER_OCTAVE = 1024
 
 
@@ -38,6 +40,8 @@ def positions(df: DataFrame, groups: Sequence[str], value: str, wanted: Sequence
     ``wanted`` holds 0-based positions (expressions over ``total``). Only buckets that contain
     one of them are then looked into, which leaves out nearly all rows before the shuffle.
     """
+    # a struct around a group column is never null, so null groups take part in the joins
+    df = df.select(F.col(value), *[F.struct(F.col(g).alias("v")).alias(g) for g in groups])
     buckets = _buckets(df, groups, value)
     if wanted:
         inside = [(F.col("__under") <= w) & (w < F.col("__under") + F.col("__bn")) for w in wanted]
@@ -51,7 +55,7 @@ def positions(df: DataFrame, groups: Sequence[str], value: str, wanted: Sequence
     within = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.select("*", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("__in"))
     return (placed.join(buckets, keys)
-            .select(*groups, value, "n", (F.col("__in") + F.col("__under")).alias("below"), "total"))
+            .select(*[F.col(g)["v"].alias(g) for g in groups], value, "n", (F.col("__in") + F.col("__under")).alias("below"), "total"))
 
 
 def percentiles(
@@ -94,4 +98,4 @@ def with_rank(
         cols.append(share.alias(percent))
     placed = positions(df, groups, value).select(*groups, F.col(value).alias("__v"), *cols)
     keyed = df.withColumn("__v", F.col(value).cast("double"))
-    return keyed.join(placed, [*groups, "__v"], "left").drop("__v")
+    return join_keys(keyed, placed, [*groups, "__v"], "left").drop("__v")

@@ -53,6 +53,11 @@ def running_sum(value: Column) -> Spec:
     return Spec("sum", value)
 
 
+def max_before(value: Column) -> Spec:
+    """Greatest ``value`` strictly before the row."""
+    return Spec("max", value)
+
+
 def row_number() -> Spec:
     """1-based position of the row within its key."""
     return Spec("sum", F.lit(1).cast("long"))
@@ -91,6 +96,12 @@ def carry(
             zero = F.lit(0)
             merged[name] = F.coalesce(F.col(here), zero) + F.coalesce(F.col(prior), zero)
             continue
+        if spec.kind == "max":
+            local.append(F.max(spec.value).over(along.rowsBetween(*past)).alias(here))
+            summary.append(F.max(spec.value).alias(part))
+            state.append(F.max(part).over(key_along.rowsBetween(*past)).alias(prior))
+            merged[name] = F.greatest(F.col(here), F.col(prior))
+            continue
         backwards = spec.kind == "after"
         frame = (against if backwards else along).rowsBetween(
             Window.unboundedPreceding, 0 if spec.kind == "upto" else -1)
@@ -116,6 +127,7 @@ def islands(
     bucket_seconds: float,
     totals: dict[str, Column] | None = None,
     index: str = "period_index",
+    many: bool = False,
 ) -> DataFrame:
     """Merge intervals of a key whose distance is at most ``gap_seconds``.
 
@@ -123,7 +135,8 @@ def islands(
 
     A new island starts only when ``start`` lies more than the gap after every earlier
     ``end``. ``totals`` are summed. Islands are first built inside each time slice, where
-    they shrink the data to at most one row per gap, and then stitched per key.
+    they shrink the data to at most one row per gap, and then stitched per key. With a gap
+    near zero one key may keep very many islands: ``many`` stitches them slice by slice too.
     """
     totals = totals or {}
     seconds = F.col(gap_seconds) if isinstance(gap_seconds, str) else F.lit(float(gap_seconds))
@@ -134,18 +147,29 @@ def islands(
         *[v.alias(n) for n, v in totals.items()],
         time_bucket(start, bucket_seconds).alias(BUCKET))
 
+    def opens(reach: Column) -> Column:
+        return (reach.isNull() | (F.unix_micros("__start") - F.unix_micros(reach) > F.col("__gap"))).cast("long")
+
     def merge(data: DataFrame, group: list[str], number: str) -> DataFrame:
         order = Window.partitionBy(*group).orderBy("__start", "__end")
         reach = F.max("__end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        opens = reach.isNull() | (F.unix_micros("__start") - F.unix_micros(reach) > F.col("__gap"))
-        numbered = data.withColumn("__open", opens.cast("long")).withColumn(
+        numbered = data.withColumn("__open", opens(reach)).withColumn(
             number, F.sum("__open").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        return numbered.groupBy(*group, number).agg(
+        return total(numbered, [*group, number])
+
+    def total(numbered: DataFrame, group: list[str]) -> DataFrame:
+        return numbered.groupBy(*group).agg(
             F.min("__start").alias("__start"), F.max("__end").alias("__end"), F.max("__gap").alias("__gap"),
             *[F.sum(n).alias(n) for n in totals])
 
     pieces = merge(rows, [*keys, BUCKET], "__piece")
-    merged = merge(pieces, list(keys), index)
+    if many:
+        slice_of, line = time_bucket("__start", bucket_seconds), ["__start", "__end"]
+        reached = carry(pieces.drop(BUCKET, "__piece"), keys, line, slice_of, __reach=max_before(F.col("__end")))
+        flagged = reached.withColumn("__open", opens(F.col("__reach")))
+        merged = total(carry(flagged, keys, line, slice_of, **{index: running_sum(F.col("__open"))}), [*keys, index])
+    else:
+        merged = merge(pieces, list(keys), index)
     return merged.select(
         *keys, (F.col(index) - 1).alias(index),
         F.col("__start").alias("start_ts"), F.col("__end").alias("end_ts"), *totals)
@@ -181,3 +205,14 @@ def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) ->
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by(F.struct(*rest), F.struct(*order))
     return df.groupBy(*keys).agg(pick.alias("__row")).select(*keys, "__row.*")
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other; the right key columns are dropped."""
+    if not keys:
+        raise ValueError("join_keys needs at least one key")
+    for k in keys:
+        right = right.withColumnRenamed(k, f"__r_{k}")
+    on = [left[k].eqNullSafe(right[f"__r_{k}"]) for k in keys]
+    out = left.join(right, on, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"__r_{k}" for k in keys])

@@ -136,7 +136,7 @@ def aura_intervals(changes: DataFrame, keys: Sequence[str], bucket_seconds: floa
     spans = (marked.filter("gained").join(ends, keys[0])
              .withColumn("until", F.coalesce("lost", "__last")))
     return islands(spans, keys, "ts", "until", 0.0, bucket_seconds,
-                   {"applications": F.lit(1).cast("long")}, index="aura_index")
+                   {"applications": F.lit(1).cast("long")}, index="aura_index", many=True)
 
 
 def aura_uptime(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -37,3 +37,11 @@ def test_bad_arguments(spark, data):
         analytics.custom_aggregation(df, ["nope"], ["g"])
     with pytest.raises(ValueError):
         analytics.composite(df, {"v": 0.5}, "v")
+
+
+def test_null_group_is_kept(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
+    got = {r.g: r for r in analytics.custom_aggregation(df, ["v"], ["g"], ["avg"], [0.5]).collect()}
+    assert (got[None].v_avg, got[None].v_p50, got["a"].v_p50) == (2.0, 2.0, 5.0)
+    ranks = sorted((r.v, r["rank"]) for r in distribution.with_rank(df, ["g"], "v", "rank").collect())
+    assert ranks == [(1.0, 2), (3.0, 1), (5.0, 1)]

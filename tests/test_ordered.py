@@ -43,14 +43,14 @@ def test_carry_equals_plain_order(spark, seed, width):
 
 
 @pytest.mark.parametrize("seed", [3, 4])
-@pytest.mark.parametrize("gap", [0.0, 3.0])
-def test_islands(spark, seed, gap):
+@pytest.mark.parametrize("gap, many", [(0.0, False), (3.0, False), (0.0, True), (3.0, True)])
+def test_islands(spark, seed, gap, many):
     rng = random.Random(seed)
     data = [(k, BASE + timedelta(seconds=(s := rng.randrange(0, 900))), BASE + timedelta(seconds=s + rng.choice([0, 1, 2, 40])))
             for k in ["hot"] * 120 + ["x"] * 20]
     df = spark.createDataFrame(data, "k string, s timestamp, e timestamp")
     got = sorted((r.k, r.period_index, r.start_ts, r.end_ts, r.n) for r in O.islands(
-        df, ["k"], "s", "e", gap, 10.0, {"n": F.lit(1).cast("long")}).collect())
+        df, ["k"], "s", "e", gap, 10.0, {"n": F.lit(1).cast("long")}, many=many).collect())
     want = []
     for k in ("hot", "x"):
         merged = []
