@@ -43,11 +43,16 @@ def custom_aggregation(
     d = df.select(*group_by, *[metric(m, df).cast("double").alias(m) for m in metrics])
     aggs = [FUNCTIONS[f](m).alias(f"{m}_{f}") for m in metrics for f in functions]
     out = d.groupBy(*group_by).agg(F.count("*").alias("samples"), *aggs).filter(F.col("samples") >= least_samples)
-    for m in metrics if percentiles else ():
-        p = distribution.percentiles(d, group_by, m, percentiles)
-        out = join_keys(out, p, list(group_by), "left") if group_by else out.select(
-            "*", *[p.select(c).scalar().alias(c) for c in p.columns])
-    return out
+    if not percentiles:
+        return out
+    # all metrics go through one exact percentile pass as (metric, value) rows
+    long = d.unpivot(list(group_by), list(metrics), "__m", "__v")
+    found = distribution.percentiles(long, [*group_by, "__m"], "__v", percentiles)
+    wide = found.groupBy(*group_by).agg(*[
+        F.max(F.when(F.col("__m") == m, F.col(f"__v_p{round(p * 100):d}"))).alias(f"{m}_p{round(p * 100):d}")
+        for m in metrics for p in percentiles])
+    return join_keys(out, wide, list(group_by), "left") if group_by else out.select(
+        "*", *[wide.select(c).scalar().alias(c) for c in wide.columns])
 
 
 def scalar(df: DataFrame, value: Column) -> Column:

@@ -15,7 +15,7 @@ from fraylens.functions import classify as C
 from fraylens.functions import lookups as L
 from fraylens.operators.ordered import carry, upto
 
-STAMP = r"^(\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}:\d{2}\.\d{3})([-+]\d+)\s\s(.+)$"
+STAMP = r"^(\d{1,2}/\d{1,2}/\d{4})\s+(\d{1,2}:\d{2}:\d{2}\.\d{3})([-+]\d+)\s\s(.+)$"
 _QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _ARRAY = r"\[[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+\]"
 _TUPLE = r"\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)"
@@ -45,10 +45,10 @@ def tokenize(lines: DataFrame) -> DataFrame:
 
     The offset is kept apart and not applied. Unreadable lines keep a null ``ts``.
     """
-    cut = F.split(F.regexp_replace("line", STAMP, f"$1{MARK}$2{MARK}$3"), MARK, 3)
-    stamp = F.regexp_replace(F.get("__cut", F.lit(0)), r"\s+", " ")
-    rest = F.get("__cut", F.lit(2))
-    fields = F.regexp_extract_all(F.regexp_replace(rest, ",$", ""), F.lit(FIELD), F.lit(1))
+    cut = F.split(F.regexp_replace("line", STAMP, f"$1 $2{MARK}$3{MARK}$4"), MARK, 3)
+    stamp, rest = F.get("__cut", F.lit(0)), F.get("__cut", F.lit(2))
+    whole = F.when(rest.endswith(","), rest.substr(F.lit(1), F.length(rest) - 1)).otherwise(rest)
+    fields = F.regexp_extract_all(whole, F.lit(FIELD), F.lit(1))
 
     def clean(x: Column) -> Column:
         x = F.trim(x)
