@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraylens import session
-from fraylens.llm import bpe, packing, token_counts
-from fraylens.llm.shared import ship, table
+from fraylens.llm import bpe, packing, quality, token_counts, toxicity
+from fraylens.llm.shared import remainder, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,11 +26,25 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels").where(remainder("doc_id", 5) != 0))
+    return toxicity.score(docs, model).select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), WORDS)
 
 
+@query
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.judge(docs, *quality.fit(docs, table(spark, folder, "labels")))
+
+
 @query
 def op5_bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
