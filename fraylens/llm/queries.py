@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraylens import session
-from fraylens.llm import bpe, packing, quality, token_counts, toxicity
-from fraylens.llm.shared import remainder, ship, table
+from fraylens.llm import bpe, packing, quality, simhash, token_counts, toxicity
+from fraylens.llm.shared import remainder, ship, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -54,3 +54,9 @@ def op5_bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), session.work_folder(spark, "token-cache"), BYTES)
+
+
+@query
+def op8_simhash_mih(spark: SparkSession, folder: str) -> DataFrame:
+    prints = stored(simhash.fingerprints(table(spark, folder, "documents")), "simhash-prints")
+    return simhash.link(prints).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
