@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraylens import session
-from fraylens.llm import bpe, packing, quality, simhash, token_counts, toxicity
+from fraylens.llm import bpe, kneser_ney, packing, quality, simhash, token_counts, toxicity
 from fraylens.llm.shared import remainder, ship, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,11 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op8_simhash_mih(spark: SparkSession, folder: str) -> DataFrame:
     prints = stored(simhash.fingerprints(table(spark, folder, "documents")), "simhash-prints")
     return simhash.link(prints).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    model = kneser_ney.train(docs.where(F.col("doc_id").isNotNull() & ~held_out))
+    return kneser_ney.score(docs, model).withColumn("held_out", held_out)
