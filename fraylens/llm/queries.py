@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraylens import session
-from fraylens.llm import bpe, kneser_ney, packing, quality, simhash, token_counts, toxicity
+from fraylens.llm import bpe, kneser_ney, packing, quality, simhash, spotsigs, token_counts, toxicity, url_filter
 from fraylens.llm.shared import remainder, ship, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,13 @@ def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
     model = kneser_ney.train(docs.where(F.col("doc_id").isNotNull() & ~held_out))
     return kneser_ney.score(docs, model).withColumn("held_out", held_out)
+
+
+@query
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+@query
+def op9_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    return spotsigs.fingerprint_pairs(table(spark, folder, "documents"))

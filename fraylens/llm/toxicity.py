@@ -106,7 +106,7 @@ def _entries(counts: pd.DataFrame, toxic: float, clean: float, out: int | None)
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """From ``labels`` (doc_id, toxic), at most ``sample`` rows of it chosen by hash; a document with several labels has their largest."""
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", text_of().alias("text")).join(bounded_sample(labels, "doc_id", sample), "doc_id")
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(bounded_sample(labels, "doc_id", sample)), "doc_id")
     # equal texts fall into one fold, near copies mostly share their beginning
     rows = stored(rows.groupBy(F.xxhash64("text").alias("key")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).withColumn(
         "fold", F.pmod(F.xxhash64(F.substring("text", 1, 40)), F.lit(FOLDS)).cast("int")), "toxic-sample")
