@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraylens import session
-from fraylens.llm import bpe, kneser_ney, packing, quality, simhash, spotsigs, token_counts, toxicity, url_filter
-from fraylens.llm.shared import remainder, ship, stored, table
+from fraylens.llm import bpe, kneser_ney, packing, pii, quality, simhash, spotsigs, token_counts, toxicity, url_filter
+from fraylens.llm.shared import remainder, ship, stored, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +78,12 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
     return spotsigs.fingerprint_pairs(table(spark, folder, "documents"))
+
+
+@query
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", text_of().alias("text"))
+    found = pii.detect(docs, pii.fit(docs))
+    base = F.concat(*(f"base_{k}" for k in pii.KINDS))
+    return found.select("doc_id", *(F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS),
+                        F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
