@@ -12,7 +12,7 @@ import hashlib
 import os
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraylens import session
-from fraylens.llm.shared import shared_path, text_of
+from fraylens.llm.shared import extended, shared_path, text_of
 from fraylens.llm.words import ID, WordEncoder
 
 #: Words in the lexicon at most, and how often one must occur. Rarer words are merged, not lost.
@@ -184,26 +184,26 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, entries: int = ENTRIES,
 
 def encode(docs: DataFrame, tokenizer_path: str, lexicon: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ids (array) and decoded text of every document."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", ids array<int>, decoded string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list[str]], dict]:
         coder = lexicon_encoder(tokenizer_path, lexicon)
-        for b in batches:
-            ids = coder.encode(b["text"].tolist())
-            yield b[list(keep)].assign(ids=[np.frombuffer(i, "<i4") for i in ids], decoded=[coder.decode(i).decode() for i in ids])
 
-    return docs.select(*keep, text_of().alias("text")).mapInPandas(run, schema)
+        def run(texts: list[str]) -> dict:
+            ids = coder.encode(texts)
+            return {"ids": [np.frombuffer(i, "<i4") for i in ids], "decoded": [coder.decode(i).decode() for i in ids]}
+        return run
+
+    return extended(docs, keep, "ids array<int>, decoded string", make)
 
 
 def digests(docs: DataFrame, tokenizer_path: str, lexicon: str) -> DataFrame:
     """doc_id, n_tokens, sha256 of the ids (little-endian 32 bit) and of the decoded text; ids and texts stay in the workers."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list[str]], dict]:
         coder = lexicon_encoder(tokenizer_path, lexicon)
-        for b in batches:
-            ids = coder.encode(b["text"].tolist())
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"], "n_tokens": [len(i) // 4 for i in ids], "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
-                "decoded_sha256": [hashlib.sha256(coder.decode(i)).hexdigest() for i in ids]})
 
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        def run(texts: list[str]) -> dict:
+            ids = coder.encode(texts)
+            return {"n_tokens": [len(i) // 4 for i in ids], "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
+                    "decoded_sha256": [hashlib.sha256(coder.decode(i)).hexdigest() for i in ids]}
+        return run
+
+    return extended(docs, ("doc_id",), "n_tokens long, ids_sha256 string, decoded_sha256 string", make)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraylens import session
-from fraylens.llm.shared import partitions, shared_path, stored, text_of
+from fraylens.llm.shared import extended, partitions, shared_path, stored, text_of
 
 #: Words of an n-gram; bytes of text per shard; tokens that a task counts or scores at once.
 ORDER, SHARD_BYTES, TOKENS = 2, 8_000_000, 1_000_000
@@ -95,7 +95,7 @@ class Tokens:
     def __init__(self, order: int):
         self.order, self.known = order, Hashes()
 
-    def batches(self, texts: pd.Series) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def batches(self, texts: pd.Series | list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """first text, text after the last, n-grams (one row per token), text of each token (from 0)."""
         parts, owner, size, first = [], [], 0, 0
         head = [BEGIN] * (self.order - 1)
@@ -286,19 +286,20 @@ class Scorer:
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_tokens, n_known, train_tokens, base_score, score (log10) and perplexity of every whole text."""
-    names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} {'long' if i < 3 else 'double'}" for i, c in enumerate(names))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list[str]], dict]:
         tokens, scorer = Tokens(model.order), Scorer(model)
-        for b in batches:
-            for first, end, grams, owner in tokens.batches(b["_text"]):
+
+        def run(texts: list[str]) -> dict:
+            out: dict = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
+            for first, end, grams, owner in tokens.batches(texts):
                 count, p = scorer.probabilities(grams)
-                n = np.bincount(owner, minlength=end - first)
-                base = np.bincount(owner, np.log10((count + 1) / (model.tokens + model.words + 1)), end - first)
-                value = np.bincount(owner, np.log10(p), end - first)
-                yield b[list(keep)].iloc[first:end].assign(
-                    n_tokens=n, n_known=np.bincount(owner, count > 0, end - first).astype("i8"), train_tokens=model.tokens, base_score=base,
-                    score=value, perplexity=10 ** np.minimum(-value / n, 300))
-
-    return docs.select(*keep, text_of().alias("_text")).mapInPandas(run, schema)
+                size = end - first
+                out["n_tokens"].append(np.bincount(owner, minlength=size))
+                out["n_known"].append(np.bincount(owner, count > 0, size).astype("i8"))
+                out["base_score"].append(np.bincount(owner, np.log10((count + 1) / (model.tokens + model.words + 1)), size))
+                out["score"].append(np.bincount(owner, np.log10(p), size))
+            out = {name: np.concatenate(parts) for name, parts in out.items()}
+            return {**out, "train_tokens": np.full(len(texts), model.tokens), "perplexity": 10 ** np.minimum(-out["score"] / out["n_tokens"], 300)}
+        return run
+
+    return extended(docs, keep, "n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double", make)

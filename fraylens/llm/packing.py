@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraylens.llm.shared import stored, text_of
+from fraylens.llm.shared import extended, stored
 from fraylens.llm.words import encoder
 
 CAPACITY = 2048
@@ -30,20 +30,18 @@ PASSES = 8
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per piece of at most ``capacity`` ids of text + ``end_id``. Null texts are empty ones (a single ``end_id``)."""
     end = np.array([end_id], "<u4").tobytes()
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", piece int, start long, length long, ids_crc32 long"
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def make() -> Callable[[list[str]], dict]:
+        def cut(texts: list[str]) -> dict:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoder(tokenizer_path).encode(b["text"].tolist())):
+            for i, ids in enumerate(encoder(tokenizer_path).encode(texts)):
                 ids += end
                 for k, first in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[first:first + 4 * capacity]
                     at.append(i), piece.append(k), start.append(first // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
-            out = b[list(keep)].iloc[at].reset_index(drop=True)
-            yield out.assign(piece=np.array(piece, "i4"), start=start, length=length, ids_crc32=crc)
+            return {None: at, "piece": piece, "start": start, "length": length, "ids_crc32": crc}
+        return cut
 
-    return docs.select(*keep, text_of().alias("text")).mapInPandas(cut, schema)
+    return extended(docs, keep, "piece int, start long, length long, ids_crc32 long", make)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

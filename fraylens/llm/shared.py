@@ -5,14 +5,19 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from fraylens import session
 
-SPACE = "[\\x20\\x09-\\x0D]+"
+#: Texts that a task holds as Python strings at once.
+ROWS = 2000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +38,30 @@ def ship(spark: SparkSession) -> None:
     context._fraylens_shipped = True
 
 
+def extended(docs: DataFrame, keep: tuple[str, ...], fields: str, make: Callable[[], Callable[[list[str]], dict]]) -> DataFrame:
+    """``keep`` columns of ``docs`` unchanged (nulls and large ids included) and new ``fields`` computed from batches of whole texts.
+
+    ``make()`` runs once per task and returns a function from texts (null: empty) to columns. A key ``None`` in its result lists the
+    row that each output row belongs to, where they aren't one to one.
+    """
+    schema = StructType([docs.schema[c] for c in keep] + _parse_datatype_string(fields).fields)
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        types = [to_arrow_type(f.dataType) for f in schema.fields[len(keep):]]
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                new = compute(part.column(len(keep)).to_pylist())
+                rows = new.pop(None, None)
+                if rows is not None:
+                    part = part.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], *(pa.array(new[n], t) for n, t in zip(names[len(keep):], types))], names)
+
+    return docs.select(*keep, text_of().alias("__whole_text")).mapInArrow(run, schema)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` below the shared folder and reads it again: cuts lineage, survives lost executors."""
     path = session.work_folder(df.sparkSession, name)

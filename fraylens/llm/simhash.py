@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fraylens.llm.shared import stored, text_of
+from fraylens.llm.shared import extended, stored
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: For ``near_copies``: words of a shingle, similarity, segments of the candidate fingerprint and their bits, differing bits a candidate's
@@ -78,11 +78,7 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, fp (64 bits as a long) of every row."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([signed(fingerprint(t, size)) for t in b["text"]], "i8")})
-
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return extended(docs, ("doc_id",), "fp long", lambda: lambda texts: {"fp": [signed(fingerprint(t, size)) for t in texts]})
 
 
 def ball(value: Column, first: int, bits: int) -> list[Column]:
@@ -185,21 +181,20 @@ def likeness_bits(similarity: float, bits: int) -> int:
     return math.floor(bits * math.acos(cosine) / math.pi)
 
 
-def wide_prints(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id, digest (of the word sequence), candidate fingerprint (2 longs) and shingle fingerprint of every row."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            digest, find, check = [], [], []
-            for text in b["text"]:
-                words = text.encode().lower().split()
-                digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                one = np.array([xxhash.xxh64_intdigest(w, SEED) for w in dict.fromkeys(words)], "<u8")
-                runs = shingle_hashes(words, size)
-                find.append([signed(majority(mixed(one, k))) for k in (1, 2)])
-                check.append([signed(majority(mixed(runs, k))) for k in range(1, WIDE + 1)])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "digest": digest, "find": find, "check": check})
-
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, digest binary, find array<long>, check array<long>")
+def wide_prints(docs: DataFrame, size: int = WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, digest (of the word sequence), candidate fingerprint (2 longs) and shingle fingerprint of every row."""
+    def prints(texts: list[str]) -> dict:
+        out: dict = {"digest": [], "find": [], "check": []}
+        for text in texts:
+            words = text.encode().lower().split()
+            out["digest"].append(xxhash.xxh3_128_digest(b" ".join(words)))
+            one = np.array([xxhash.xxh64_intdigest(w, SEED) for w in dict.fromkeys(words)], "<u8")
+            runs = shingle_hashes(words, size)
+            out["find"].append([signed(majority(mixed(one, k))) for k in (1, 2)])
+            out["check"].append([signed(majority(mixed(runs, k))) for k in range(1, WIDE + 1)])
+        return out
+
+    return extended(docs, keep, "digest binary, find array<long>, check array<long>", lambda: prints)
 
 
 def near_copies(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

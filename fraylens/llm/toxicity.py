@@ -8,7 +8,7 @@ describes it. Nothing but the text enters a score. Null and empty texts get the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraylens.llm.boosting import Boosted, fit_calibrated
-from fraylens.llm.shared import bounded_sample, stored, text_of
+from fraylens.llm.shared import bounded_sample, extended, stored, text_of
 
 #: Labelled rows used for fitting at most, folds, and entries of a lexicon at most.
 SAMPLE, FOLDS, ENTRIES = 20_000, 4, 4000
@@ -142,12 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and the calibrated score of every row."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list[str]], dict]:
         lexicon = Lexicon(*model.lexicon)
-        for b in batches:
-            x = np.array([describe(t, lexicon) for t in b["_text"]]).reshape(-1, len(FEATURES))
-            yield b[list(keep)].assign(score=model.trees.probability(x))
+        return lambda texts: {"score": model.trees.probability(np.array([describe(t, lexicon) for t in texts]).reshape(-1, len(FEATURES)))}
 
-    return docs.select(*keep, text_of().alias("_text")).mapInPandas(run, schema)
+    return extended(docs, keep, "score double", make)
