@@ -1,8 +1,9 @@
 """Interpolated modified Kneser-Ney n-gram model: counted in Spark, stored as sorted hash arrays, memory-mapped by the scoring workers.
 
-Tasks count the n-grams of their documents and deal them out by hash into as many shards as the text needs, so a frequent word is no
-hot key and no task sees more than a shard. A shard's reducer writes a sorted array of 64-bit n-gram hashes with counts to the shared
-folder, and hands on context totals and the (n-1)-grams, whose counts are continuation counts. Scoring maps these arrays and looks up
+Words are counted first. Then tasks count the n-grams of their documents and deal them out by the hash of their context into as many shards
+as the text needs; n-grams after a frequent word (one with over 1 / ``SPREAD`` of a shard's share) are dealt by their own hash, so it is
+no hot key. A shard's reducer writes sorted arrays of 64-bit hashes with counts to the shared folder and hands on the (n-1)-grams, whose
+counts are continuation counts; totals of spread contexts are added up in a step of their own. Scoring maps these arrays and looks up
 a batch's distinct n-grams by binary search. Nothing is pruned: the model grows with the text.
 
 Null and empty texts consist of the end token alone. Without training text every token has probability 1 / (V + 1) = 1.
@@ -28,11 +29,16 @@ from fraylens import session
 from fraylens.llm.shared import extended, partitions, shared_path, stored, text_of
 
 #: Words of an n-gram; bytes of text per shard; tokens that a task counts or scores at once.
-ORDER, SHARD_BYTES, TOKENS = 2, 8_000_000, 1_000_000
+ORDER, SHARD_BYTES, TOKENS = 2, 8_000_000, 3_000_000
 #: Words hold no white space, so these are none.
 END, BEGIN = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" begin")
 PARTS = "kind string, shard long, payload binary"
 DISCOUNTS = 3
+#: Counts up to this one take a byte; larger ones stand in an array of their own.
+OFTEN = 255
+#: A word is frequent if it is more than one in this many of a shard's mean tokens.
+SPREAD = 8
+COUNTS = ("total", "once", "twice", "more")
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -66,19 +72,33 @@ def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key[start], order[start], [np.add.reduceat(v[order], start) if len(start) else v[:0] for v in values]
 
 
-def deal(kind: str, key: np.ndarray, shards: int, *arrays: np.ndarray) -> list[tuple[str, int, bytes]]:
-    """Rows of (kind, shard, arrays) for sorted keys."""
-    shard = shard_of(key, shards)
-    start = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(key) else []
-    end = [*start[1:], len(key)]
-    out = []
-    for a, b in zip(start, end):
-        # rows of a context side by side shrink well; the reducer sorts anyway
-        order = np.argsort(arrays[0][a:b, 0], kind="stable") if arrays[0].ndim == 2 else slice(None)
-        out.append((kind, int(shard[a]), packed(*(x[a:b][order] for x in arrays))))
+def deal(kind: str, shard: np.ndarray, *arrays: np.ndarray) -> list[tuple[str, int, bytes]]:
+    """Rows of (kind, shard, arrays)."""
+    order = np.argsort(shard, kind="stable")
+    ranked = shard[order]
+    start = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(shard) else []
+    return [(kind, int(ranked[a]), packed(*(x[order[a:b]] for x in arrays))) for a, b in zip(start, [*start[1:], len(shard)])]
+
+
+def compact(values: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def is_spread(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Rows whose context has frequent words only (a frequent context is among them)."""
+    out = np.ones(len(grams), bool)
+    for word in grams[:, :-1].T:
+        at = np.searchsorted(frequent, word)
+        out &= frequent[np.minimum(at, len(frequent) - 1)] == word
     return out
 
 
+def home(grams: np.ndarray, frequent: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each n-gram."""
+    return np.where(is_spread(grams, frequent), shard_of(combine(grams), shards), shard_of(combine(grams[:, :-1]), shards))
+
+
 class Hashes(dict):
     """Word hashes, remembered in bounded memory."""
 
@@ -131,6 +151,7 @@ class Model:
     discounts: dict[int, list[float]]
     types: int  # sum of continuation counts of words
     uniform: float  # weight of the uniform distribution below the words
+    frequent: np.ndarray  # sorted words whose n-grams are spread over shards
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -145,32 +166,45 @@ def of_counts(count: np.ndarray, d: list[float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(count, DISCOUNTS).astype("i8")]
 
 
-def _gram_reducer(path: str, level: int, shards: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Writes a shard's n-grams; hands on context totals, counts of counts and the next lower n-grams."""
+def _word_reducer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    word, _, (n,) = summed(*(np.concatenate(c) for c in zip(*unpacked(rows["payload"]))))
+    return pd.DataFrame([("word", int(key[0]), packed(word, n), len(word), int(n.sum()))], columns=["kind", "shard", "payload", "words", "tokens"])
+
+
+def _context_counts(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Context hashes with total count and how many n-grams were counted once, twice and more often."""
+    context, _, sums = summed(combine(grams[:, :-1]), n, *((n == k).astype("i8") for k in (1, 2)), (n > 2).astype("i8"))
+    return context, sums
+
+
+def _gram_reducer(path: str, level: int, shards: int, frequent: np.ndarray) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Writes a shard's n-grams and contexts; hands on spread contexts, counts of counts and the next lower n-grams."""
     def reduce(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        got = unpacked(rows["payload"])
-        grams, n = (np.concatenate(c) for c in zip(*got))
+        grams, n = (np.concatenate(c) for c in zip(*unpacked(rows["payload"])))
         gram, at, (n,) = summed(combine(grams), n)
-        grams = grams[at]
-        _save(f"{path}/gram{level}/{key[0]}", key=gram, count=n.astype("u4" if n.max(initial=0) < 2 ** 32 else "u8"))
-        ones = [(n == k).astype("i8") for k in (1, 2)]
-        context, _, sums = summed(combine(grams[:, :-1]), n, *ones, (n > 2).astype("i8"))
-        out = deal(f"context{level}", context, shards, context, *sums)
+        grams, often = grams[at], n >= OFTEN
+        _save(f"{path}/gram{level}/{key[0]}", key=gram, count=np.minimum(n, OFTEN).astype("u1"))
+        _save(f"{path}/often{level}/{key[0]}", key=gram[often], count=n[often])
+        spread = is_spread(grams, frequent)
+        context, counts = _context_counts(grams[~spread], n[~spread])
+        _save(f"{path}/context{level}/{key[0]}", key=context, **{c: compact(v) for c, v in zip(COUNTS, counts)})
+        context, counts = _context_counts(grams[spread], n[spread])
+        out = deal(f"context{level}", shard_of(context, shards), context, *counts)
         lower, at, (m,) = summed(combine(grams[:, 1:]), np.ones(len(n), "i8"))
         # words have one-dimensional payloads, longer n-grams rows of word hashes
-        out += deal(f"gram{level - 1}", lower, shards, grams[at][:, 1:] if level > 2 else lower, m)
+        rest = grams[at][:, 1:]
+        out += deal(f"gram{level - 1}", home(rest, frequent, shards) if level > 2 else shard_of(lower, shards), rest if level > 2 else lower, m)
         out.append(("stats", 0, packed(np.array([(n == k).sum() for k in (1, 2, 3, 4)]))))
         return pd.DataFrame(out, columns=["kind", "shard", "payload"])
 
     return reduce
 
 
-def _context_writer(path: str, level: int, d: list[float]) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+def _context_writer(path: str, level: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def contexts(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        h, total, n1, n2, n3 = (np.concatenate(c) for c in zip(*unpacked(rows["payload"])))
-        h, _, (total, n1, n2, n3) = summed(h, total, n1, n2, n3)
-        gamma = (d[0] * n1 + d[1] * n2 + d[2] * n3) / total
-        _save(f"{path}/context{level}/{key[0]}", key=h, total=total.astype("f8"), gamma=gamma.astype("f8"))
+        h, *counts = (np.concatenate(c) for c in zip(*unpacked(rows["payload"])))
+        h, _, counts = summed(h, *counts)
+        _save(f"{path}/spread{level}/{key[0]}", key=h, **{c: compact(v) for c, v in zip(COUNTS, counts)})
         return pd.DataFrame({"n": [len(h)]})
 
     return contexts
@@ -184,23 +218,43 @@ def train(docs: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = int(max(partitions(spark), -(-size // shard_bytes)))
 
+    def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = Tokens(1)
+        for b in batches:
+            for _, _, grams, _ in tokens.batches(b["text"]):
+                word, _, (n,) = summed(grams[:, 0], np.ones(len(grams), "i8"))
+                yield pd.DataFrame(deal("word", shard_of(word, shards), word, n), columns=["kind", "shard", "payload"])
+
+    words = stored(texts.mapInPandas(count_words, PARTS).groupBy("shard").applyInPandas(_word_reducer, f"{PARTS}, words long, tokens long"), "kn-words")
+    bar = max((words.agg(F.sum("tokens").alias("n")).first()["n"] or 0) // (SPREAD * shards), 1)
+
+    def often(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for word, n in unpacked(b["payload"]):
+                yield pd.DataFrame({"word": word[n > bar].view("i8")})
+
+    # at most SPREAD words per shard
+    found = [r["word"] for r in words.select("payload").mapInPandas(often, "word long").collect()]
+    frequent = np.sort(np.array([BEGIN, *np.array(found, "i8").view("u8").tolist()], "u8"))
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = Tokens(order)
         for b in batches:
             for _, _, grams, _ in tokens.batches(b["text"]):
-                key, at, (n,) = summed(combine(grams), np.ones(len(grams), "i8"))
-                rows = deal(f"gram{order}", key, shards, grams[at], n)
-                word, at, (n,) = summed(grams[:, -1], np.ones(len(grams), "i8"))
-                yield pd.DataFrame([*rows, *deal("word", word, shards, word, n)], columns=["kind", "shard", "payload"])
-
-    parts = stored(texts.mapInPandas(count, PARTS), "kn-counts")
+                _, at, (n,) = summed(combine(grams), np.ones(len(grams), "i8"))
+                grams = grams[at]
+                # a context's n-grams side by side shrink well
+                order_by = np.argsort(grams[:, 0], kind="stable")
+                grams, n = grams[order_by], n[order_by]
+                yield pd.DataFrame(deal(f"gram{order}", home(grams, frequent, shards), grams, n), columns=["kind", "shard", "payload"])
+
+    parts = texts.mapInPandas(count, PARTS)
     stats: dict[int, list[int]] = {}
-    words = parts.where(F.col("kind") == "word")
     for level in range(order, 1, -1):
-        parts = stored(parts.where(F.col("kind") == f"gram{level}").groupBy("shard").applyInPandas(_gram_reducer(path, level, shards), PARTS), f"kn-{level}")
+        own = parts if level == order else parts.where(F.col("kind") == f"gram{level}")
+        parts = stored(own.groupBy("shard").applyInPandas(_gram_reducer(path, level, shards, frequent), PARTS), f"kn-{level}")
         stats[level] = _sum_stats(parts.where(F.col("kind") == "stats"))
-        d = discounts(stats[level])
-        parts.where(F.col("kind") == f"context{level}").groupBy("shard").applyInPandas(_context_writer(path, level, d), "n long").agg(F.sum("n")).collect()
+        parts.where(F.col("kind") == f"context{level}").groupBy("shard").applyInPandas(_context_writer(path, level), "n long").agg(F.sum("n")).collect()
 
     def unigrams(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         raw, more = rows["kind"] == "word", rows["kind"] == "gram1"
@@ -212,13 +266,13 @@ def train(docs: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -
                             columns=["words", "tokens", "types", "n1", "n2", "n3", "n4", "more"])
 
     fields = ["words", "tokens", "types", "n1", "n2", "n3", "n4", "more"]
-    both = words.unionByName(parts.where(F.col("kind") == "gram1"))
+    both = words.select("kind", "shard", "payload").unionByName(parts.where(F.col("kind") == "gram1"))
     done = both.groupBy("shard").applyInPandas(unigrams, ", ".join(f"{f} long" for f in fields))
     total = {f: v or 0 for f, v in done.agg(*(F.sum(f).alias(f) for f in fields)).first().asDict().items()}
     stats[1] = [total[f] for f in ("n1", "n2", "n3", "n4")]
     d = {k: discounts(v) for k, v in stats.items()}
     weight = (d[1][0] * total["n1"] + d[1][1] * total["n2"] + d[1][2] * total["more"]) / total["types"] if total["types"] else 1.0
-    return Model(path, order, shards, total["tokens"], total["words"], d, total["types"], weight)
+    return Model(path, order, shards, total["tokens"], total["words"], d, total["types"], weight, frequent)
 
 
 def _sum_stats(rows: DataFrame) -> list[int]:
@@ -244,11 +298,15 @@ class Arrays:
             return None
         return [np.load(f"{self.path}/{shard}.{n}.npy", mmap_mode="r") for n in ("key", *self.names)]
 
-    def find(self, keys: np.ndarray) -> list[np.ndarray]:
-        """The values of each key, zeros where it is not stored."""
-        one, back = np.unique(keys, return_inverse=True)
+    def find(self, keys: np.ndarray, shard: np.ndarray | None = None) -> list[np.ndarray]:
+        """The values of each key, zeros where it is not stored. ``shard``: of each key, if not that of its own hash."""
+        one, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        shard = shard_of(one, self.shards) if shard is None else shard[first]
+        order = np.argsort(shard, kind="stable")
+        one, shard = one[order], shard[order]
+        place = np.empty(len(order), "i8")
+        place[order] = np.arange(len(order))
         out = [np.zeros(len(one)) for _ in self.names]
-        shard = shard_of(one, self.shards)
         start = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(one) else []
         for a, b in zip(start, [*start[1:], len(one)]):
             if (arrays := self.open(int(shard[a]))) is None:
@@ -258,14 +316,16 @@ class Arrays:
             hit = hit[arrays[0][at[hit]] == one[a:b][hit]]
             for o, values in zip(out, arrays[1:]):
                 o[a + hit] = values[at[hit]]
-        return [o[back] for o in out]
+        return [o[place[back]] for o in out]
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model, m = model, model
         self.grams = {k: Arrays(f"{m.path}/gram{k}", m.shards, ("count",)) for k in range(2, m.order + 1)}
-        self.contexts = {k: Arrays(f"{m.path}/context{k}", m.shards, ("total", "gamma")) for k in range(2, m.order + 1)}
+        self.often = {k: Arrays(f"{m.path}/often{k}", m.shards, ("count",)) for k in range(2, m.order + 1)}
+        self.contexts = {k: Arrays(f"{m.path}/context{k}", m.shards, COUNTS) for k in range(2, m.order + 1)}
+        self.spread = {k: Arrays(f"{m.path}/spread{k}", m.shards, COUNTS) for k in range(2, m.order + 1)}
         self.words = Arrays(f"{m.path}/word", m.shards, ("count", "before"))
 
     def probabilities(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,10 +337,21 @@ class Scorer:
             p = p + np.maximum(before - of_counts(before, m.discounts[1]), 0) / m.types
         p = np.broadcast_to(p, count.shape)
         for k in range(2, m.order + 1):
-            n, = self.grams[k].find(combine(grams[:, -k:]))
-            total, gamma = self.contexts[k].find(combine(grams[:, -k:-1]))
+            own = grams[:, -k:]
+            gram, context, at, d = combine(own), combine(own[:, :-1]), home(own, m.frequent, m.shards), m.discounts[k]
+            n, = self.grams[k].find(gram, at)
+            large = np.flatnonzero(n == OFTEN)
+            n[large], = self.often[k].find(gram[large], at[large])
+            spread = is_spread(own, m.frequent)
+            counts = [np.zeros(len(gram)) for _ in COUNTS]
+            for where, arrays in ((~spread, self.contexts[k]), (spread, self.spread[k])):
+                for c, found in zip(counts, arrays.find(context[where])):
+                    c[where] = found
+            total, *by = counts
             known = total > 0
-            p = np.where(known, np.maximum(n - of_counts(n, m.discounts[k]), 0) / np.where(known, total, 1) + gamma * p, p)
+            size = np.where(known, total, 1)
+            gamma = sum(x * y for x, y in zip(d, by)) / size
+            p = np.where(known, np.maximum(n - of_counts(n, d), 0) / size + gamma * p, p)
         return count, p
 
 
