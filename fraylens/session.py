@@ -28,14 +28,20 @@ def build(master: str | None = None, app: str = "fraylens", **conf: str) -> Spar
     return builder.getOrCreate()
 
 
+_LOCAL: dict[str, str] = {}  # application -> its temporary base folder
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir`` (shared by all executors).
 
-    Only when that setting is absent, as in local tests, a machine-local temporary
-    folder is made and recorded in the session.
+    Only a session on a single machine (``local[...]``) may leave that setting out, as tests do; it then gets a temporary folder.
+    On a cluster a missing setting is an error, because a machine's own folder would split the files between executors.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="fraylens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _LOCAL.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="fraylens-")
+        _LOCAL[context.applicationId] = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
