@@ -9,7 +9,7 @@ group is ever paired with itself. Each match is verified on the complete distanc
 * ``fingerprints`` / ``link``: 64 bits, links at 2 or fewer differing bits, exact and complete. The address keeps the whole fingerprint but
   for one bit, so at most 65 different fingerprints share one and each is within 2 bits of all others there.
 * ``near_copies``: links at an estimated similarity of word shingles (0.8, five words). Candidates come from segments of a fingerprint of
-  the distinct words (edits move it least), the verdict from 256 bits over the shingles: bits differ at the rate angle / pi.
+  the distinct words (edits move it least), the verdict from 512 bits over the shingles: bits differ at the rate angle / pi.
 
 Null texts are empty ones, and empty ones are copies of each other. Repeated rows belong to one group. An empty table gives no rows.
 """
@@ -33,7 +33,8 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 #: For ``near_copies``: words of a shingle, similarity, segments of the candidate fingerprint and their bits, differing bits a candidate's
 #: second word may have (far above what the similarity allows, far below what unrelated texts have).
 WORDS, SIMILARITY, SEGMENTS, SEGMENT_BITS, CANDIDATE_BITS = 5, 0.8, 4, 25, 16
-WIDE = 4  # 64-bit words of the verifying fingerprint
+#: 64-bit words of the verifying fingerprint, and the standard deviations above the expected differing bits that still count as alike.
+WIDE, SLACK = 8, 1.5
 
 
 def shingle_hashes(words: list[bytes], size: int, seed: int = SEED) -> np.ndarray:
@@ -176,9 +177,9 @@ def link(prints: DataFrame) -> DataFrame:
 
 
 def likeness_bits(similarity: float, bits: int) -> int:
-    """Differing bits that shingle sets of this Jaccard similarity are expected to have at most."""
-    cosine = 2 * similarity / (1 + similarity)
-    return math.floor(bits * math.acos(cosine) / math.pi)
+    """Differing bits up to which shingle sets may have this Jaccard similarity: the expected number and ``SLACK`` deviations."""
+    rate = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * rate + SLACK * math.sqrt(bits * rate * (1 - rate)))
 
 
 def wide_prints(docs: DataFrame, size: int = WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -79,11 +79,10 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     full = sorted(top)
     has_null = F.col("doc_id").isNull()
     above = {k: full[i + 1] for i, k in enumerate(full[:-1])}
-    guests = F.lit(None).cast("int")
-    if full:
-        for k in full:
-            to = above.get(k, full[0])
-            guests = F.when((F.col("doc_id") == top[k]) & (F.col("__bucket") == k), to).otherwise(guests)
+    # flat lists by range: expressions don't nest with the number of ranges
+    listed = lambda values: F.get(F.array(*[F.lit(values.get(k)).cast("long") for k in range(len(cuts) + 1)]), F.col("__bucket"))
+    to = listed({k: above.get(k, full[0]) for k in full}).cast("int")
+    guests = F.when(F.col("doc_id") == listed(top), to)
     home = F.coalesce("__bucket", F.lit(0))
     dealt = docs.withColumn("__bucket", _bucket(F.col("doc_id"), cuts))
     if full:  # null ids live in the lowest range, which is read last

@@ -28,7 +28,7 @@ SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch
 EDGE = ".,;:!?\"'()[]{}<>|#*$%&+=-_~^`/\\"
 #: Signs read as the letters they stand for (fixed values).
 LEET = str.maketrans("013457@$€!|", "oieastaseil")
-FEATURES = ("words", "strong", "plain", "stems", "strong_count", "plain_count", "stem_count", "hidden", "near_second", "second", "capitals", "bangs", "signs", "digits")
+FEATURES = ("strong", "plain", "stems", "strong_count", "plain_count", "stem_count", "hidden", "near_second", "second", "capitals", "bangs", "signs", "digits")
 STRONG_BIT, PLAIN_BIT, STEM_BIT, HIDDEN_BIT, SECOND_BIT = 1, 2, 4, 8, 16
 
 _CLASS = np.zeros(256, "u1")
@@ -84,7 +84,7 @@ def describe(text: str, lexicon: Lexicon) -> list[float]:
         near = float((1 / (1 + gap)).sum() / n)
     count = [int(((flag & b) > 0).sum()) for b in (STRONG_BIT, PLAIN_BIT, STEM_BIT, HIDDEN_BIT)]
     size, letters = max(n, 1), max(len(raw) - int(of[5]), 1)
-    return [np.log1p(n), *(c / size for c in count[:3]), *(np.log1p(c) for c in count[:3]), count[3] / size, near, len(second) / size, *(of[i] / letters for i in (1, 2, 3, 4))]
+    return [*(c / size for c in count[:3]), *(np.log1p(c) for c in count[:3]), count[3] / size, near, len(second) / size, *(of[i] / letters for i in (1, 2, 3, 4))]
 
 
 class Model:
