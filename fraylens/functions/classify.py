@@ -76,7 +76,7 @@ def title_case(text: Column) -> Column:
     """First letter of every run of letters in upper case, the rest in lower case."""
     runs = F.regexp_extract_all(F.trim(text), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
     return F.array_join(
-        F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 100000)))), "")
+        F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
 
 
 def is_region(code: Column) -> Column:

@@ -58,6 +58,11 @@ def positions(df: DataFrame, groups: Sequence[str], value: str, wanted: Sequence
             .select(*[F.col(g)["v"].alias(g) for g in groups], value, "n", (F.col("__in") + F.col("__under")).alias("below"), "total"))
 
 
+def label(point: float) -> str:
+    """0.5 -> 50, 0.999 -> 99_9."""
+    return f"{point * 100:.10g}".replace(".", "_")
+
+
 def percentiles(
     df: DataFrame, groups: Sequence[str], value: str, points: Sequence[float], prefix: str | None = None
 ) -> DataFrame:
@@ -75,7 +80,7 @@ def percentiles(
         lower = F.max(F.when(holds_low, F.col(value)))
         upper = F.max(F.when(holds_high, F.col(value)))
         share = F.max(rank - low)
-        out.append((lower + (upper - lower) * share).alias(f"{prefix}_p{round(p * 100):d}"))
+        out.append((lower + (upper - lower) * share).alias(f"{prefix}_p{label(p)}"))
     return placed.groupBy(*groups).agg(*out)
 
 

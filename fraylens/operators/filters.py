@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 from functools import reduce
@@ -55,8 +56,17 @@ def for_guild(df: DataFrame, guild: int | None, default: int = 1, column: str =
     return df.filter(F.col(column) == (guild if guild and guild > 0 else default))
 
 
+def _moment(value: datetime | str) -> tuple[int, ...]:
+    """Year to fraction as numbers, however a date is written (``2024-1-9``, a blank or ``T`` before the time)."""
+    if isinstance(value, datetime):
+        return (*value.timetuple()[:6], value.microsecond)
+    whole, _, fraction = value.partition(".")
+    parts = [int(p) for p in re.findall(r"\d+", whole)[:6]]
+    return (*parts, *[1] * (3 - len(parts)), *[0] * (6 - max(len(parts), 3)), int(f"{fraction:0<6.6}" if fraction.isdigit() else 0))
+
+
 def time_range(df: DataFrame, ts: str, start: datetime | str, end: datetime | str) -> DataFrame:
-    if str(end) <= str(start):
+    if _moment(end) <= _moment(start):
         raise ValueError("end must be after start")
     return df.filter(F.col(ts).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
 

@@ -71,17 +71,23 @@ def tiers(start: datetime, end: datetime, now: datetime) -> list[str]:
     return out or ["hot"]
 
 
-def union_tiers(frames: dict[str, DataFrame], ts: str, start: datetime, end: datetime, now: datetime) -> DataFrame:
-    """Rows of the needed tiers. Each tier serves its own age range, so rows held by two tiers
-    appear once without any shuffle, and the ranges prune partitions of every tier."""
-    hot = F.lit(now - timedelta(days=HOT_DAYS)).cast("timestamp")
-    warm = F.lit(now - timedelta(days=WARM_DAYS)).cast("timestamp")
-    age = {"hot": F.col(ts) > hot, "warm": (F.col(ts) <= hot) & (F.col(ts) > warm), "cold": F.col(ts) <= warm}
+TIER_ORDER = ("hot", "warm", "cold")
+
+
+def union_tiers(frames: dict[str, DataFrame], ts: str, start: datetime, end: datetime, key: str) -> DataFrame:
+    """Rows of a time range from all tiers, each key once, from the hottest tier that has it.
+
+    A row may be late on its way to the next tier, or be in two tiers for a while, so its age doesn't tell where it is. The time range is
+    pushed into every tier's scan; copies meet in an aggregation.
+    """
     out = None
-    for tier in tiers(start, end, now):
-        part = frames[tier].filter(age[tier]).filter(F.col(ts).between(F.lit(start), F.lit(end))).withColumn("tier", F.lit(tier))
+    for rank, tier in enumerate(TIER_ORDER):
+        if tier not in frames:
+            continue
+        part = frames[tier].filter(F.col(ts).between(F.lit(start), F.lit(end))).withColumns({"tier": F.lit(tier), "__rank": F.lit(rank)})
         out = part if out is None else out.unionByName(part)
-    return out
+    rest = [c for c in out.columns if c not in (key, "__rank")]
+    return out.groupBy(key).agg(F.min_by(F.struct(*rest), "__rank").alias("__row")).select(key, "__row.*")
 
 
 def new_files(found: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,7 @@ from fraylens.functions import classify as C
 from fraylens.operators import distribution
 from fraylens.operators.intervals import locate, overlap_seconds, range_join
 from fraylens.operators.ordered import (
-    after, before, carry, halo_window, islands, row_number, running_sum, time_bucket, upto)
+    after, before, carry, halo_window, islands, max_before, row_number, running_sum, time_bucket, upto)
 
 HOUR = 3600.0
 
@@ -57,7 +57,7 @@ def combat_share(periods: DataFrame, keys: Sequence[str], spans: DataFrame) -> D
 
 def overlapping(windows: DataFrame, keys: Sequence[str], order: Sequence[str], bucket_seconds: float = HOUR) -> DataFrame:
     """Windows that start before an earlier one of the key has ended (none when valid)."""
-    checked = carry(windows, keys, order, time_bucket("start_ts", bucket_seconds), prev_end=before(F.col("end_ts")))
+    checked = carry(windows, keys, order, time_bucket("start_ts", bucket_seconds), prev_end=max_before(F.col("end_ts")))
     return checked.filter(F.col("start_ts") < F.col("prev_end"))
 
 
@@ -92,13 +92,16 @@ def activity_bursts(
 
 # --- duplicates, numbering, ownership ----------------------------------------------------------
 
-def dedupe_swings(events: DataFrame) -> DataFrame:
-    """Of SWING_DAMAGE and _LANDED rows with equal (ts, source, dest) keep the first line.
+def dedupe_swings(events: DataFrame, upload: Sequence[str] = ("guild_id", "file_id")) -> DataFrame:
+    """Of SWING_DAMAGE and _LANDED rows with equal (ts, source, dest) in one upload keep the first line.
+
+    Two guilds, or two members of one, may have logged the same raid: their rows never meet. ``upload`` columns that the table lacks
+    are left out.
 
     The copies meet in an aggregation, so even a huge group of copies is reduced map-side.
     """
     swing = F.col("event_type").isin("SWING_DAMAGE", "SWING_DAMAGE_LANDED")
-    keys = ["ts", "source_guid", "dest_guid"]
+    keys = [*(c for c in upload if c in events.columns), "ts", "source_guid", "dest_guid"]
     rest = [c for c in events.columns if c not in keys]
     first = (events.filter(swing).groupBy(*keys)
              .agg(F.min_by(F.struct(*rest), "line_no").alias("__row")).select(*keys, "__row.*"))

@@ -108,15 +108,14 @@ def _(t: Tables):
 
 # --- tiers and sets ---------------------------------------------------------------------------------
 
-NOW = datetime(2024, 1, 31)
-
-
-@query("u01_tiers", """SELECT event_id, CASE WHEN ts > TIMESTAMP '2024-01-24' THEN 'hot' WHEN ts > TIMESTAMP '2024-01-01' THEN 'warm' ELSE 'cold' END AS tier FROM events
+# Some rows older than a week are still in the hot tier alone, some new ones are in the warm tier already, most are in both.
+@query("u01_tiers", """SELECT event_id, CASE WHEN ts > TIMESTAMP '2024-01-20' AND event_id % 13 <> 0 OR event_id % 11 = 0 THEN 'hot' ELSE 'warm' END AS tier FROM events
 WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-28'""")
 def _(t: Tables):
     e = t.events
-    frames = {"hot": e.filter(F.col("ts") > F.lit("2024-01-20").cast("timestamp")), "warm": e, "cold": e.filter(F.col("ts") < F.lit("2024-01-05").cast("timestamp"))}
-    return listing.union_tiers(frames, "ts", datetime(2024, 1, 10), datetime(2024, 1, 28), NOW).select("event_id", "tier")
+    late, early = F.col("event_id") % 11 == 0, F.col("event_id") % 13 == 0
+    frames = {"hot": e.filter((F.col("ts") > F.lit("2024-01-20").cast("timestamp")) & ~early | late), "warm": e.filter(~late), "cold": e.filter(F.col("ts") < F.lit("2024-01-05").cast("timestamp"))}
+    return listing.union_tiers(frames, "ts", datetime(2024, 1, 10), datetime(2024, 1, 28), "event_id").select("event_id", "tier")
 
 
 @query("u02_distinct_participants", "WITH {EV} SELECT encounter_key, source_guid AS guid FROM ev UNION SELECT encounter_key, dest_guid FROM ev")

@@ -63,11 +63,11 @@ def last_seen(characters, performances, key: str):
 
 
 @query("j06_characters_last_seen", """SELECT c_custkey, c_name, count(o_orderkey) AS encounter_count, epoch_us(max(o_orderdate)) AS last_us
-FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY 1, 2 ORDER BY max(o_orderdate) DESC NULLS LAST, c_custkey LIMIT 1400""")
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY 1, 2""")
 def _(t: Tables):
     perf = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").alias("ts"))
     d = last_seen(t.customer.select("c_custkey", "c_name"), perf, "c_custkey")
-    return d.orderBy(F.desc_nulls_last("last_seen"), "c_custkey").limit(1400).select(
+    return d.select(
         "c_custkey", "c_name", "encounter_count", us("last_seen").alias("last_us"))
 
 

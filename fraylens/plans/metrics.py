@@ -294,10 +294,10 @@ def _(t: Tables):
     return w.select(us("window_start").alias("window_us"), "event_type", "total", F.round("mean", 6).alias("mean"), "n")
 
 
-@query("a35_auto_width", """WITH {EV}, s AS (SELECT source_guid, (epoch_us(max(ts)) - epoch_us(min(ts))) / 86400e6 AS days FROM ev WHERE line_no % 9 = 0 OR user_id % 3 = 0 GROUP BY 1)
+@query("a35_auto_width", """WITH {EV}, s AS (SELECT source_guid, (epoch_us(max(ts)) - epoch_us(min(ts))) / 86400e6 AS days FROM ev GROUP BY 1)
 SELECT source_guid, CASE WHEN days > 7 THEN 3600 WHEN days > 1 THEN 600 ELSE 0 END AS width FROM s""")
 def _(t: Tables):
-    e = combat_events(t).filter("line_no % 9 = 0 OR user_id % 3 = 0")
+    e = combat_events(t)
     return e.groupBy("source_guid").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(
         "source_guid", M.window_width(F.col("a"), F.col("b")).alias("width"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -138,18 +139,19 @@ def file_sizes(spark: SparkSession, path: str, raw_bytes: int) -> DataFrame:
 
 # --- saved searches ------------------------------------------------------------------------------------------------
 
-SAVED = "id string, definition string, use_count bigint"
+SAVED = "id string, definition string, use_count bigint, version bigint"
 
 
 def save_search(spark: SparkSession, path: str, ident: str, definition: Mapping[str, Any]) -> None:
-    """Append a search definition (a filter tree) as data."""
-    row = spark.createDataFrame([(ident, json.dumps(definition), 0)], SAVED)
+    """Append a search definition (a filter tree) as data; the newest version of an id counts."""
+    row = spark.createDataFrame([(ident, json.dumps(definition), 0, time.time_ns())], SAVED)
     row.write.mode("append").json(path)
 
 
 def list_searches(spark: SparkSession, path: str) -> DataFrame:
     d = spark.read.schema(SAVED).json(path)
-    return d.groupBy("id").agg(F.max("definition").alias("definition"), F.sum("use_count").alias("use_count"))
+    return d.groupBy("id").agg(
+        F.max_by("definition", "version").alias("definition"), F.sum("use_count").alias("use_count"), F.max("version").alias("version"))
 
 
 def run_saved(spark: SparkSession, path: str, ident: str, target: DataFrame, overrides: Mapping[str, Any] | None = None) -> DataFrame:
@@ -158,7 +160,7 @@ def run_saved(spark: SparkSession, path: str, ident: str, target: DataFrame, ove
     if saved is None:
         raise KeyError(ident)
     definition = _override(json.loads(saved["definition"]), overrides or {})
-    spark.createDataFrame([(ident, saved["definition"], 1)], SAVED).write.mode("append").json(path)
+    spark.createDataFrame([(ident, saved["definition"], 1, saved["version"])], SAVED).write.mode("append").json(path)
     return target.filter(filters.tree(definition, target.columns))
 
 

@@ -62,11 +62,13 @@ def batch_writer(path: str, transform: Callable[[DataFrame, int], DataFrame] | N
     return write
 
 
-def run_available(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None], checkpoint: str, timeout: int = 600) -> None:
-    """Process everything that is there, then stop."""
+def run_available(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None], checkpoint: str, timeout: int | None = None) -> None:
+    """Process everything that is there, however long it takes (``timeout``: seconds, if the caller sets a limit), then stop."""
     q = (stream.writeStream.outputMode(mode).foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    if not q.awaitTermination(timeout):
+    if timeout is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout):
         q.stop()
         raise TimeoutError("stream did not finish")
 
