@@ -113,16 +113,18 @@ def pull_numbers(starts: DataFrame, keys: Sequence[str], order: Sequence[str], b
     return carry(starts, keys, order, time_bucket(order[0], bucket_seconds), pull_number=row_number())
 
 
-def resolve_owner(rows: DataFrame, summons: DataFrame, bucket_seconds: float = HOUR) -> DataFrame:
+def resolve_owner(rows: DataFrame, summons: DataFrame, bucket_seconds: float = HOUR, upload: Sequence[str] = ()) -> DataFrame:
     """Replace pet, creature and vehicle guids by the owner known at that time.
 
-    ``summons``: guid, owner_guid, ts, line_no. Player rows pass through without a shuffle.
+    ``summons``: guid, owner_guid, ts, line_no. Both have the ``upload`` columns, and owners hold inside one upload.
+    Player rows pass through without a shuffle.
     """
     owned = C.entity_kind(F.col("guid")).isin("Pet", "Creature", "Vehicle")
     body = rows.columns
-    stacked = rows.filter(owned).select("guid", "ts", "line_no", F.struct(*body).alias("__row")).unionByName(
-        summons.select("guid", "ts", "line_no", F.col("owner_guid").alias("__owner")), allowMissingColumns=True)
-    filled = carry(stacked, ["guid"], ["ts", "line_no"], time_bucket("ts", bucket_seconds),
+    keys = [*upload, "guid"]
+    stacked = rows.filter(owned).select(*keys, "ts", "line_no", F.struct(*body).alias("__row")).unionByName(
+        summons.select(*keys, "ts", "line_no", F.col("owner_guid").alias("__owner")), allowMissingColumns=True)
+    filled = carry(stacked, keys, ["ts", "line_no"], time_bucket("ts", bucket_seconds),
                    owner_guid=upto(F.col("__owner"))).filter(F.col("__row").isNotNull())
     pets = filled.select("__row.*", "owner_guid")
     out = rows.filter(~owned | owned.isNull()).withColumn("owner_guid", F.lit(None).cast("string")).unionByName(pets)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["rows", "sequences", "joins", "metrics", "analytics", "reports", "finding", "logs", "stores", "live"]
+MODULES = ["rows", "sequences", "joins", "metrics", "analytics", "reports", "finding", "logs", "stores", "live", "e2e"]
 
 
 def load_all() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,3 +45,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
         base = _LOCAL.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="fraylens-")
         _LOCAL[context.applicationId] = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to a working folder and reads it again, so that what follows may use it several times."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
