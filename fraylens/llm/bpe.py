@@ -13,7 +13,6 @@ import os
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraylens import session
-from fraylens.llm.shared import extended, shared_path, text_of
+from fraylens.llm.shared import extended, shared_path, text_of, worker_cache
 from fraylens.llm.words import ID, WordEncoder
 
 #: Words in the lexicon at most, and how often one must occur. Rarer words are merged, not lost.
@@ -142,7 +141,7 @@ class LexiconEncoder(WordEncoder):
         return b" ".join(map(self.strings.__getitem__, numbers))
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def lexicon_encoder(path: str, lexicon: str) -> LexiconEncoder:
     return LexiconEncoder(path, lexicon)
 
@@ -192,7 +191,7 @@ def encode(docs: DataFrame, tokenizer_path: str, lexicon: str, keep: tuple[str,
             return {"ids": [np.frombuffer(i, "<i4") for i in ids], "decoded": [coder.decode(i).decode() for i in ids]}
         return run
 
-    return extended(docs, keep, "ids array<int>, decoded string", make)
+    return extended(docs, keep, "ids array<int>, decoded string", make, "fraylens.llm.bpe.lexicon_encoder")
 
 
 def digests(docs: DataFrame, tokenizer_path: str, lexicon: str) -> DataFrame:
@@ -206,4 +205,4 @@ def digests(docs: DataFrame, tokenizer_path: str, lexicon: str) -> DataFrame:
                     "decoded_sha256": [hashlib.sha256(coder.decode(i)).hexdigest() for i in ids]}
         return run
 
-    return extended(docs, ("doc_id",), "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return extended(docs, ("doc_id",), "n_tokens long, ids_sha256 string, decoded_sha256 string", make, "fraylens.llm.bpe.lexicon_encoder")

@@ -41,7 +41,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
             return {None: at, "piece": piece, "start": start, "length": length, "ids_crc32": crc}
         return cut
 
-    return extended(docs, keep, "piece int, start long, length long, ids_crc32 long", make)
+    return extended(docs, keep, "piece int, start long, length long, ids_crc32 long", make, "fraylens.llm.words.encoder")
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -38,16 +39,35 @@ def ship(spark: SparkSession) -> None:
     context._fraylens_shipped = True
 
 
-def extended(docs: DataFrame, keep: tuple[str, ...], fields: str, make: Callable[[], Callable[[list[str]], dict]]) -> DataFrame:
+#: Forgets what one kind of worker cache holds, by its name.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def worker_cache(fn: Callable) -> Callable:
+    """A cache of large objects that a worker process keeps between tasks, until tasks that don't use it need the memory."""
+    cached = lru_cache(maxsize=1)(fn)
+    CACHES[f"{fn.__module__}.{fn.__name__}"] = cached.cache_clear
+    return cached
+
+
+def release(but: str) -> None:
+    """Empties this worker's caches except one."""
+    for name, clear in CACHES.items():
+        if name != but:
+            clear()
+
+
+def extended(docs: DataFrame, keep: tuple[str, ...], fields: str, make: Callable[[], Callable[[list[str]], dict]], cache: str = "") -> DataFrame:
     """``keep`` columns of ``docs`` unchanged (nulls and large ids included) and new ``fields`` computed from batches of whole texts.
 
     ``make()`` runs once per task and returns a function from texts (null: empty) to columns. A key ``None`` in its result lists the
-    row that each output row belongs to, where they aren't one to one.
+    row that each output row belongs to, where they aren't one to one. ``cache``: the worker cache it uses; all others are emptied.
     """
     schema = StructType([docs.schema[c] for c in keep] + _parse_datatype_string(fields).fields)
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(cache)
         compute = make()
         types = [to_arrow_type(f.dataType) for f in schema.fields[len(keep):]]
         for b in batches:

@@ -11,13 +11,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraylens.llm.shared import stored, text_of
+from fraylens.llm.shared import stored, text_of, worker_cache
 from fraylens.llm.words import load
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
@@ -30,7 +29,7 @@ CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 class ChunkCounter:
     """Counts of a byte-level BPE whose tokens hold white space only in front: such a text is the sum of its chunks."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 500_000):
         self.tokenizer, self.limit, self.known = load(path), limit, {}
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
@@ -48,7 +47,7 @@ class ChunkCounter:
         return out
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def counter(path: str) -> ChunkCounter:
     return ChunkCounter(path)
 

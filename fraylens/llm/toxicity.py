@@ -62,7 +62,7 @@ class Lexicon(dict):
             if plain != word and (hidden := self.flags(plain) & (STRONG_BIT | PLAIN_BIT)):
                 found = hidden | HIDDEN_BIT
         found |= SECOND_BIT * (word in SECOND)
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[chunk] = found
         return found

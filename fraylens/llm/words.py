@@ -8,12 +8,12 @@ the library, so ids always equal those of ``Tokenizer.encode(text, add_special_t
 from __future__ import annotations
 
 import re
-from functools import lru_cache
-
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from fraylens.llm.shared import worker_cache
+
 ID = np.dtype("<u4")
 ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}\x85\xa0]+")
@@ -37,7 +37,7 @@ def load(path: str) -> Tokenizer:
 class WordEncoder:
     """``encode(texts)`` gives each text's ids as little-endian 32-bit bytes. Memory is bounded by ``limit`` remembered chunks."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         self.tokenizer, self.limit = load(path), limit
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.chunks: dict[bytes, bytes] = {}
@@ -85,7 +85,7 @@ class WordEncoder:
             self.chunks[chunk] = self._whole(chunk.decode()) if found is None else b"".join(map(get, found))
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def encoder(path: str) -> WordEncoder:
     """One per worker process and vocabulary."""
     return WordEncoder(path)
