@@ -11,7 +11,7 @@ from fraylens.plans.catalog import ORACLE, QUERIES
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = ["a03_character_metrics", "w01_combat_periods", "w08_unified_fights", "j01_resolve_owner", "a27_custom_aggregation", "w12_rankings",
-          "q06_popular_terms", "s05_project_events", "s16_export_encounter", "t04_page", "u01_tiers"]
+          "q06_popular_terms", "s05_project_events", "s16_export_encounter", "t04_page", "u01_tiers", "e2e_two_guilds_same_log", "w04_dedupe_swings", "w03_overlapping", "j06_characters_last_seen"]
 
 load_all()
 

@@ -43,3 +43,17 @@ def test_file_hashes(spark, tmp_path):
 def test_range_must_be_forward(spark):
     with pytest.raises(ValueError):
         time_range(spark.range(1), "id", "2024-02-01", "2024-01-01")
+
+
+def test_time_range_reads_dates_in_any_writing(spark):
+    days = spark.sql("SELECT explode(sequence(timestamp'2024-01-01', timestamp'2024-01-31', interval 1 day)) AS ts")
+    assert time_range(days, "ts", "2024-1-9", "2024-01-10").count() == 2
+    with pytest.raises(ValueError):
+        time_range(days, "ts", "2024-01-09 10:00:00", "2024-01-09T09:00:00")
+
+
+def test_newest_saved_search_counts(spark, tmp_path):
+    path = str(tmp_path / "again")
+    stores.save_search(spark, path, "s", {"field": "id", "operator": "lt", "value": 9})
+    stores.save_search(spark, path, "s", {"field": "id", "operator": "lt", "value": 2})
+    assert stores.run_saved(spark, path, "s", spark.range(20)).count() == 2
