@@ -8,15 +8,14 @@ group is ever paired with itself. Each match is verified on the complete distanc
 
 * ``fingerprints`` / ``link``: 64 bits, links at 2 or fewer differing bits, exact and complete. The address keeps the whole fingerprint but
   for one bit, so at most 65 different fingerprints share one and each is within 2 bits of all others there.
-* ``near_copies``: links at an estimated similarity of word shingles (0.8, five words). Candidates come from segments of a fingerprint of
-  the distinct words (edits move it least), the verdict from 512 bits over the shingles: bits differ at the rate angle / pi.
+* ``near_copies``: links at an exact Jaccard similarity of 0.8 or more between sets of distinct word shingles (five words). Addresses are bands
+  of minimum hashes over the same sets. Every pair that shares one is verified, is linked already, or is ruled out by the triangle inequality.
 
 Null texts are empty ones, and empty ones are copies of each other. Repeated rows belong to one group. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +29,9 @@ from pyspark.sql.window import Window
 from fraylens.llm.shared import extended, stored
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-#: For ``near_copies``: words of a shingle, similarity, segments of the candidate fingerprint and their bits, differing bits a candidate's
-#: second word may have (far above what the similarity allows, far below what unrelated texts have).
-WORDS, SIMILARITY, SEGMENTS, SEGMENT_BITS, CANDIDATE_BITS = 5, 0.8, 4, 25, 16
-#: 64-bit words of the verifying fingerprint, and the standard deviations above the expected differing bits that still count as alike.
-WIDE, SLACK = 8, 1.5
+#: For ``near_copies``: words of a shingle, similarity, addresses of a text and minimum hashes in each. A pair at exactly the similarity shares
+#: no address with probability (1 - 0.8 ** DEEP) ** BANDS = 5e-8, whatever the number of texts.
+WORDS, SIMILARITY, BANDS, DEEP = 5, 0.8, 32, 4
 
 
 def shingle_hashes(words: list[bytes], size: int, seed: int = SEED) -> np.ndarray:
@@ -87,10 +84,10 @@ def ball(value: Column, first: int, bits: int) -> list[Column]:
     return [value, *(value.bitwiseXOR(F.lit(signed(1 << b))) for b in range(first, first + bits))]
 
 
-def match(keys: DataFrame, most: int, star_only: bool, name: str) -> DataFrame:
+def match(keys: DataFrame, most: int, name: str) -> DataFrame:
     """Pairs (a < b) of ids that share an address and whose sketches differ in at most ``most`` bits.
 
-    ``keys`` has address, id, sketch. Each entry is compared with the first of its run and, unless ``star_only``, with the one before it.
+    ``keys`` has address, id, sketch. Each entry is compared with the first of its run, which is enough where all entries of a run are alike.
     Runs that go on in the next task are joined through one border row per task.
     """
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,9 +114,6 @@ def match(keys: DataFrame, most: int, star_only: bool, name: str) -> DataFrame:
             if not new[0]:
                 heads[head < 0] = first
             yield pairs(heads, rows, ~new)
-            if not star_only:
-                before = np.concatenate([rows[:1] if last is None else last[None], rows[:-1]])
-                yield pairs(before, rows, ~new)
             first, last = heads[-1].copy(), rows[-1].copy()
         if begin is not None:
             yield pd.DataFrame({"task": [task], "begin": [begin.tolist()], "head": [first.tolist()], "last": [last.tolist()]})
@@ -170,51 +164,78 @@ def link(prints: DataFrame) -> DataFrame:
     groups = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-groups")
     known = groups.where(F.col("first_id").isNotNull())
     keys = known.select(F.explode(F.array(*ball(F.col("fp"), 0, 32), *ball(F.col("fp"), 32, 32)[1:])).alias("address"), F.col("first_id").alias("id"), F.col("fp").alias("sketch"))
-    edges = match(keys, RADIUS, True, "simhash-matches")
+    edges = match(keys, RADIUS, "simhash-matches")
     label = components(edges, "simhash")
     reached = groups.join(label, groups["first_id"] == label["node"], "left").select("fp", F.coalesce("label", "first_id").alias("component_id"))
     return prints.join(stored(reached, "simhash-components"), "fp").select("doc_id", "fp", "component_id")
 
 
-def likeness_bits(similarity: float, bits: int) -> int:
-    """Differing bits up to which shingle sets may have this Jaccard similarity: the expected number and ``SLACK`` deviations."""
-    rate = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * rate + SLACK * math.sqrt(bits * rate * (1 - rate)))
+def bands(hashes: np.ndarray) -> list[int]:
+    """The addresses of a set of hashes: per band a hash of its minima under ``DEEP`` orders. Nothing for an empty set."""
+    if not len(hashes):
+        return []
+    orders = np.arange(1, BANDS * DEEP + 1).astype("u8")
+    turn, factor = mixed(orders, 1)[:, None], (mixed(orders, 2) | np.uint64(1))[:, None]
+    least = np.full(BANDS * DEEP, np.iinfo("u8").max, "u8")
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashes), 1000):  # tables that fit a core's cache
+            np.minimum(least, ((hashes[None, at:at + 1000] ^ turn) * factor).min(1), out=least)
+    return [signed(xxhash.xxh64_intdigest(m.tobytes(), k)) for k, m in enumerate(least.reshape(BANDS, DEEP))]
 
 
 def wide_prints(docs: DataFrame, size: int = WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, digest (of the word sequence), candidate fingerprint (2 longs) and shingle fingerprint of every row."""
+    """``keep`` columns, digest (of the word sequence), addresses and distinct shingle hashes of every row."""
     def prints(texts: list[str]) -> dict:
-        out: dict = {"digest": [], "find": [], "check": []}
+        out: dict = {"digest": [], "bands": [], "shingles": []}
         for text in texts:
             words = text.encode().lower().split()
             out["digest"].append(xxhash.xxh3_128_digest(b" ".join(words)))
-            one = np.array([xxhash.xxh64_intdigest(w, SEED) for w in dict.fromkeys(words)], "<u8")
-            runs = shingle_hashes(words, size)
-            out["find"].append([signed(majority(mixed(one, k))) for k in (1, 2)])
-            out["check"].append([signed(majority(mixed(runs, k))) for k in range(1, WIDE + 1)])
+            runs = np.unique(shingle_hashes(words, size))
+            out["bands"].append(bands(runs))
+            out["shingles"].append(runs.view("i8"))
         return out
 
-    return extended(docs, keep, "digest binary, find array<long>, check array<long>", lambda: prints)
+    return extended(docs, keep, "digest binary, bands array<long>, shingles array<long>", lambda: prints)
+
+
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b, exact Jaccard distance of their sets and whether it links them."""
+    both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("of_a")), "a").join(
+        sets.select(F.col("digest").alias("b"), F.col("shingles").alias("of_b")), "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("shared"), (F.size("of_a") + F.size("of_b")).alias("total"))
+    alike = F.col("shared") / (F.col("total") - F.col("shared"))
+    return counted.select("a", "b", (1 - alike).alias("distance"), (alike >= similarity).alias("linked"))
 
 
 def near_copies(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """digest, group (of ``wide_prints``): word sequences that are linked by near copies share the group's smallest number."""
-    one = stored(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("find").alias("find"), F.first("check").alias("check")).select(
-        "digest", F.coalesce("doc_id", F.xxhash64("digest")).alias("id"), "find", "check"), "near-sequences")
-    low, high = F.col("find")[0], F.col("find")[1]
-    mask = (1 << SEGMENT_BITS) - 1
-    # two segments of the first word, two of the second; the segment's number keeps their tables apart
-    cut = [(word, at) for word in (low, high) for at in (0, 32)][:SEGMENTS]
-    address = []
-    for s, (word, at) in enumerate(cut):
-        value = F.shiftrightunsigned(word, at).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(s << 40))
-        address += ball(value, 0, SEGMENT_BITS)
-    keys = one.select(F.explode(F.array(*address)).alias("address"), "id", low.alias("sketch"))
-    pairs = match(keys, CANDIDATE_BITS, False, "near-candidates")
-    left = one.select(F.col("id").alias("a"), F.col("check").alias("check_a"))
-    right = one.select(F.col("id").alias("b"), F.col("check").alias("check_b"))
-    bits = sum((F.bit_count(F.col("check_a")[k].bitwiseXOR(F.col("check_b")[k])) for k in range(WIDE)), F.lit(0))
-    links = pairs.join(left, "a").join(right, "b").where(bits <= likeness_bits(similarity, 64 * WIDE)).select("a", "b")
-    label = components(links, "near")
-    return one.join(label, one["id"] == label["node"], "left").select("digest", F.coalesce("label", "id").alias("group"))
+    """digest, label, group (of ``wide_prints``): the smallest digest and doc_id that links of near copies reach from a word sequence.
+
+    The first text of each address is compared with all others there. A pair that this leaves in different components is compared as well,
+    unless its distances to the first text (or its sizes) differ too much for it to be alike, so large groups are never paired with themselves.
+    """
+    entries = stored(prints.select("digest", F.size("shingles").alias("n"), F.explode("bands").alias("address")).distinct(), "near-entries")
+    firsts = entries.groupBy("address").agg(F.min("digest").alias("head"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+    met = stored(entries.join(firsts, "address").select("address", "head", F.col("digest").alias("node"), "n"), "near-met")
+    wanted = met.select(F.col("node").alias("digest")).distinct()
+    sets = stored(prints.select("digest", "shingles").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles")), "near-sets")
+    stars = met.where("head != node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    first = stored(compared(stars, sets, similarity), "near-stars")
+    label = components(first.where("linked"), "near-first")
+
+    known = met.join(first.select(F.col("a").alias("head"), F.col("b").alias("node"), "distance"), ["head", "node"]).join(label, "node", "left").select(
+        "address", "node", "n", "distance", F.coalesce("label", "node").alias("label"))
+    known = stored(known, "near-known")
+    several = known.groupBy("address").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("address")
+    open_ = stored(known.join(several, "address", "left_semi"), "near-open")
+    x, y = open_.alias("x"), open_.alias("y")
+    apart = F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - similarity + 1e-9
+    sizes = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
+    cross = x.join(y, (F.col("x.address") == F.col("y.address")) & (F.col("x.label") < F.col("y.label")) & apart & sizes).select(
+        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    second = stored(compared(cross, sets, similarity), "near-others")
+
+    label = components(first.unionByName(second).where("linked"), "near")
+    named = stored(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(label, F.col("digest") == F.col("node"), "left").select(
+        "digest", "doc_id", F.coalesce("label", "digest").alias("label")), "near-named")
+    smallest = named.groupBy("label").agg(F.min("doc_id").alias("group"))
+    return named.join(smallest, "label").select("digest", "label", F.coalesce("group", F.xxhash64("label")).alias("group"))

@@ -76,6 +76,36 @@ def test_near_copies_of_edited_texts(spark):
     assert sum(got[i] == min(j for j in got if family[j] == family[i]) for i in got) >= 0.97 * len(got)
 
 
+def shingles(text):
+    words = text.lower().split()
+    return {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard_groups(texts):
+    """Groups by links of exact Jaccard similarity 0.8 or more."""
+    sets = {i: shingles(t) for i, t in texts.items()}
+    return groups(list(texts), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+
+
+def near_groups(spark, texts):
+    prints = simhash.wide_prints(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    return {r["doc_id"]: r["group"] for r in prints.join(simhash.near_copies(prints), "digest").collect()}
+
+
+def test_near_copies_at_crowded_addresses(spark):
+    """All texts share a long passage, so addresses are crowded; copies are far apart by id and differ more from the first text than allowed."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage, texts = [word() for _ in range(120)], {}
+    for f in range(60):
+        tail = [word() for _ in range(80)]
+        for c in range(3):
+            texts[1000 * c + f] = " ".join(passage + tail[:70] + [word() for _ in range(3 * c)] + tail[70:])
+    want = jaccard_groups(texts)
+    assert len(set(want.values())) == 60
+    assert near_groups(spark, texts) == want
+
+
 def brute_next(rows):
     order = sorted(rows, key=lambda r: -r[0])
     return {r[0]: order[(k + 1) % len(order)][1] for k, r in enumerate(order)}
