@@ -183,41 +183,47 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [signed(xxhash.xxh64_intdigest(m.tobytes(), k)) for k, m in enumerate(least.reshape(BANDS, DEEP))]
 
 
+def shingle_set(text: str, size: int = WORDS) -> np.ndarray:
+    return np.unique(shingle_hashes(text.encode().lower().split(), size))
+
+
 def wide_prints(docs: DataFrame, size: int = WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, digest (of the word sequence), addresses and distinct shingle hashes of every row."""
+    """``keep`` columns, text, digest (of the word sequence), number of distinct shingles and addresses of every row."""
     def prints(texts: list[str]) -> dict:
-        out: dict = {"digest": [], "bands": [], "shingles": []}
+        out: dict = {"digest": [], "shingles": [], "bands": []}
         for text in texts:
-            words = text.encode().lower().split()
-            out["digest"].append(xxhash.xxh3_128_digest(b" ".join(words)))
-            runs = np.unique(shingle_hashes(words, size))
-            out["bands"].append(bands(runs))
-            out["shingles"].append(runs.view("i8"))
+            own = shingle_set(text, size)
+            out["digest"].append(xxhash.xxh3_128_digest(b" ".join(text.encode().lower().split())))
+            out["shingles"].append(len(own))
+            out["bands"].append(bands(own))
         return out
 
-    return extended(docs, keep, "digest binary, bands array<long>, shingles array<long>", lambda: prints)
+    keep = keep if "text" in keep else (*keep, "text")
+    return extended(docs, keep, "digest binary, shingles int, bands array<long>", lambda: prints)
 
 
 def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """a, b, exact Jaccard distance of their sets and whether it links them."""
-    both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("of_a")), "a").join(
-        sets.select(F.col("digest").alias("b"), F.col("shingles").alias("of_b")), "b")
+    both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("hashes").alias("of_a")), "a").join(
+        sets.select(F.col("digest").alias("b"), F.col("hashes").alias("of_b")), "b")
     counted = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("shared"), (F.size("of_a") + F.size("of_b")).alias("total"))
     alike = F.col("shared") / (F.col("total") - F.col("shared"))
     return counted.select("a", "b", (1 - alike).alias("distance"), (alike >= similarity).alias("linked"))
 
 
-def near_copies(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_copies(prints: DataFrame, similarity: float = SIMILARITY, size: int = WORDS) -> DataFrame:
     """digest, label, group (of ``wide_prints``): the smallest digest and doc_id that links of near copies reach from a word sequence.
 
     The first text of each address is compared with all others there. A pair that this leaves in different components is compared as well,
     unless its distances to the first text (or its sizes) differ too much for it to be alike, so large groups are never paired with themselves.
     """
-    entries = stored(prints.select("digest", F.size("shingles").alias("n"), F.explode("bands").alias("address")).distinct(), "near-entries")
+    one = stored(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("shingles").alias("n"), F.first("bands").alias("bands")), "near-sequences")
+    entries = one.select("digest", "n", F.explode("bands").alias("address"))
     firsts = entries.groupBy("address").agg(F.min("digest").alias("head"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
     met = stored(entries.join(firsts, "address").select("address", "head", F.col("digest").alias("node"), "n"), "near-met")
     wanted = met.select(F.col("node").alias("digest")).distinct()
-    sets = stored(prints.select("digest", "shingles").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles")), "near-sets")
+    texts = prints.select("digest", "text").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    sets = stored(extended(texts, ("digest",), "hashes array<long>", lambda: lambda batch: {"hashes": [shingle_set(t, size).view("i8") for t in batch]}), "near-sets")
     stars = met.where("head != node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     first = stored(compared(stars, sets, similarity), "near-stars")
     label = components(first.where("linked"), "near-first")
@@ -235,7 +241,7 @@ def near_copies(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     second = stored(compared(cross, sets, similarity), "near-others")
 
     label = components(first.unionByName(second).where("linked"), "near")
-    named = stored(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(label, F.col("digest") == F.col("node"), "left").select(
+    named = stored(one.join(label, F.col("digest") == F.col("node"), "left").select(
         "digest", "doc_id", F.coalesce("label", "digest").alias("label")), "near-named")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("group"))
     return named.join(smallest, "label").select("digest", "label", F.coalesce("group", F.xxhash64("label")).alias("group"))

@@ -106,6 +106,29 @@ def test_near_copies_at_crowded_addresses(spark):
     assert near_groups(spark, texts) == want
 
 
+def test_near_copies_are_exact(spark):
+    """Pairs on both sides of the similarity, and a line repeated many times, which counts once."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts, line = {}, " ".join(word() for _ in range(12))
+    for f in range(60):
+        own = [word() for _ in range(200)]
+        texts[10 * f] = " ".join(own)
+        texts[10 * f + 1] = " ".join(own + [word() for _ in range(35 + f // 2)])  # 196 shingles of 231 to 260
+    for f in range(20):
+        texts[1000 + f] = " ".join([*(word() for _ in range(60)), *[line] * 60])
+    want = jaccard_groups(texts)
+    assert 20 < sum(want[10 * f + 1] == 10 * f for f in range(60)) < 60
+    assert near_groups(spark, texts) == want
+
+
+def test_texts_under_one_id_are_no_copies(spark):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(100)) for k in "abc")
+    prints = simhash.wide_prints(spark.createDataFrame([(1, one), (1, two), (2, one + " x"), (3, two + " y"), (None, three)], "doc_id long, text string"))
+    labels = {r["digest"]: r["label"] for r in simhash.near_copies(prints).collect()}
+    assert len(labels) == 5 and len(set(labels.values())) == 3
+
+
 def brute_next(rows):
     order = sorted(rows, key=lambda r: -r[0])
     return {r[0]: order[(k + 1) % len(order)][1] for k, r in enumerate(order)}
