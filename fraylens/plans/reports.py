@@ -143,8 +143,8 @@ def _(t: Tables):
     people = lines.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("o_orderkey", "s_name").distinct()
     listed = export.parts(people, "o_orderkey", ["s_name"], "items")
     d = t.orders.select("o_orderkey", "o_orderpriority").join(hits, "o_orderkey", "left").join(listed, "o_orderkey", "left")
-    return d.select("o_orderkey", F.coalesce("part", F.lit(0)).alias("part"), "o_orderpriority",
-                    F.array_join("items.s_name", ",").alias("participants"), F.coalesce("hits", F.lit(0)).alias("hits"))
+    d = d.withColumns({"part": F.coalesce("part", F.lit(0)), "hits": F.coalesce("hits", F.lit(0))})
+    return d.select("o_orderkey", "part", export.in_head("o_orderpriority"), F.array_join("items.s_name", ",").alias("participants"), export.in_head("hits"))
 
 
 @query("a47_upload_stats", """SELECT o_orderstatus AS status, count(*) AS logs, CAST(sum(o_orderkey * 10) AS BIGINT) AS bytes, CAST(sum(n) AS BIGINT) AS events FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1""")

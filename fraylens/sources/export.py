@@ -14,20 +14,27 @@ def parts(children: DataFrame, key: str, payload: Sequence[str | Column], name:
     """Children of each key as sorted arrays of about ``rows`` items, numbered by ``part``.
 
     A key with a million children becomes a thousand parts in as many tasks; nothing is
-    left out and no array grows with the group.
+    left out and no array grows with the group. Equal children are numbered, so that they spread over the parts as well.
     """
     sizes = children.groupBy(key).agg(F.ceil(F.count("*") / rows).alias("__parts"))
     item = F.struct(*payload)
-    cut = children.select(key, item.alias("__item")).join(sizes, key)
-    part = F.pmod(F.xxhash64("__item"), F.col("__parts")).alias("part")
+    counted = children.select(key, item.alias("__item")).groupBy(key, "__item").agg(F.count("*").alias("__copies"))
+    cut = counted.select(key, "__item", F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).join(sizes, key)
+    part = F.pmod(F.xxhash64("__item", "__copy"), F.col("__parts")).alias("part")
     return cut.groupBy(key, part).agg(F.array_sort(F.collect_list("__item")).alias(name))
 
 
 def documents(encounters: DataFrame, children: DataFrame, key: str, payload: Sequence[str | Column], name: str) -> DataFrame:
-    """One JSON document per encounter and part: the encounter's fields and a slice of its children."""
+    """One JSON document per encounter and part: a slice of its children, and in part 0 the encounter's fields."""
     p = parts(children, key, payload, name)
     d = encounters.join(p, key, "left").withColumn("part", F.coalesce("part", F.lit(0)))
-    return d.select(key, "part", F.to_json(F.struct(*encounters.columns, "part", name)).alias("document"))
+    head = [c if c == key else in_head(c) for c in encounters.columns]
+    return d.select(key, "part", F.to_json(F.struct(*head, "part", name)).alias("document"))
+
+
+def in_head(column: str) -> Column:
+    """A field of the whole key: in its part 0 only, so that sums over all parts count it once."""
+    return F.when(F.col("part") == 0, F.col(column)).alias(column)
 
 
 def event_samples(events: DataFrame, keys: Sequence[str], n: int = 10) -> DataFrame:
