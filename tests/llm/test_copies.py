@@ -92,6 +92,19 @@ def near_groups(spark, texts):
     return {r["doc_id"]: r["group"] for r in prints.join(simhash.near_copies(prints), "digest").collect()}
 
 
+def test_near_copies_among_texts_of_the_same_words(spark):
+    """Texts of the same words in other orders are no copies; copies are far apart by id."""
+    rng = random.Random(23)
+    words, texts = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(150)], {}
+    for f in range(60):
+        own = rng.sample(words, len(words))
+        for c in range(3):
+            texts[1000 * c + f] = " ".join(own[:150 - 2 * c] + own[150 - 2 * c:][::-1])
+    want = jaccard_groups(texts)
+    assert len(set(want.values())) == 60
+    assert near_groups(spark, texts) == want
+
+
 def test_near_copies_at_crowded_addresses(spark):
     """All texts share a long passage, so addresses are crowded; copies are far apart by id and differ more from the first text than allowed."""
     rng = random.Random(21)
