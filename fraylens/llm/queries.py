@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraylens import session
-from fraylens.llm import bpe, kneser_ney, packing, pii, quality, simhash, spotsigs, token_counts, toxicity, url_filter
+from fraylens.llm import bpe, kneser_ney, packing, pii, quality, simhash, spelling, spotsigs, token_counts, toxicity, url_filter
 from fraylens.llm.shared import remainder, ship, stored, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     base = F.concat(*(f"base_{k}" for k in pii.KINDS))
     return found.select("doc_id", *(F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS),
                         F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
