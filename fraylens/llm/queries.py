@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraylens import session
-from fraylens.llm import bpe, kneser_ney, packing, pii, quality, simhash, spelling, spotsigs, token_counts, toxicity, url_filter
+from fraylens.llm import bpe, kneser_ney, ngram_join, packing, pii, quality, simhash, spelling, spotsigs, token_counts, toxicity, url_filter
 from fraylens.llm.shared import remainder, ship, stored, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,11 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
+@query
+def op11_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.link(table(spark, folder, "documents"))
+
+
 @query
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
