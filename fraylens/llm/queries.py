@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraylens import session
-from fraylens.llm import bpe, kneser_ney, ngram_join, packing, pii, quality, simhash, spelling, spotsigs, token_counts, toxicity, url_filter
+from fraylens.llm import bpe, hard_negatives, kneser_ney, ngram_join, packing, pii, quality, simhash, spelling, spotsigs, token_counts, toxicity, url_filter
 from fraylens.llm.shared import remainder, ship, stored, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def op11_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, folder, "embeddings"))
