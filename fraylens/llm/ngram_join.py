@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fraylens.llm.shared import extended, partitions, stored, text_of
+from fraylens.llm.shared import discard, extended, partitions, stored, text_of
 from fraylens.llm.simhash import components, shingle_hashes
 
 SHINGLE, PERCENT = 3, 90
@@ -226,17 +226,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(alike(F.size(F.array_intersect("a_tokens", "b_tokens")), F.col("a_n") + F.col("b_n"), percent)).select("a", "b")
 
 
-def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, buckets: int = 1) -> DataFrame:
-    """a, b: links between different sets; enough of them for all components."""
-    sets = stored(shared_sets(docs, size, percent, buckets), "ngram-sets")
+def candidates(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sure links; pairs to verify) among ``shared_sets``: by rare tokens directly, by all others through families."""
     postings = sets.select("node", "n", "own", F.explode("first").alias("token"))
     rare = F.col("token") < F.lit(FREQUENT << TOKEN_BITS)
     x, y = postings.where(rare).alias("x"), postings.where(rare).alias("y")
     near = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & sizes_fit(F.col("x.n"), F.col("y.n"), percent)).select(
         F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    family = stored(families(postings.where(~rare), sets), "ngram-families")
-    sure, left = family_pairs(family, percent)
-    return sure.unionByName(verified(near.unionByName(left).distinct(), sets, percent))
+    sure, left = family_pairs(stored(families(postings.where(~rare), sets), "ngram-families"), percent)
+    return sure, near.unionByName(left)
 
 
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -244,7 +242,10 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     rows = stored(members(docs, size), "ngram-members")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), -(-total // BUCKET))
-    edges = stored(links(docs, size, percent, buckets), "ngram-links")
+    sets = stored(shared_sets(docs, size, percent, buckets), "ngram-sets")
+    sure, pairs = candidates(sets, percent)
+    edges = stored(sure.unionByName(verified(pairs.distinct(), sets, percent)), "ngram-links")
+    discard(sets)
     label = components(edges, "ngram")
     first = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"))
     named = stored(first.join(label, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")), "ngram-named")

@@ -83,10 +83,20 @@ def extended(docs: DataFrame, keep: tuple[str, ...], fields: str, make: Callable
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` below the shared folder and reads it again: cuts lineage, survives lost executors."""
+    """Writes ``df`` below the shared folder and reads it again: cuts lineage, survives lost executors. ``discard`` deletes it."""
     path = session.work_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._fraylens_folder = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the folders of ``stored`` frames that nothing reads any more: what was made from them must be stored itself."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._fraylens_folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(column: str | Column = "text") -> Column:

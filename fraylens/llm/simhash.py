@@ -1,15 +1,12 @@
 """SimHash near copies by multi-index hashing.
 
-A fingerprint is cut into segments. For each segment all members of the Hamming ball of radius 1 around its value are enumerated and
-entered into a table; an address is (segment, ball member) and, in ``link``, the untouched rest of the fingerprint. Two fingerprints whose
-segments differ by at most two bits meet at an address half-way between them. The table is sorted by range over (address, fingerprint), so an
-address that many fingerprints share is spread over tasks like any other run of rows; matches are neighbours in the sorted table and no
-group is ever paired with itself. Each match is verified on the complete distance.
+A fingerprint of 64 bits is cut into two segments, each with a table of all values. The members of the Hamming ball of radius 1 around a fingerprint's
+own segment are enumerated and looked up in that segment's table; what they meet is verified on all 64 bits (``near_fingerprints``). A value that many
+fingerprints share is split by the other bits: its fingerprints meet at addresses that keep all bits but one, in a table sorted by range, where
+matches are neighbours and no group is ever paired with itself (``match``).
 
-* ``fingerprints`` / ``link``: 64 bits, links at 2 or fewer differing bits, exact and complete. The address keeps the whole fingerprint but
-  for one bit, so at most 65 different fingerprints share one and each is within 2 bits of all others there.
-* ``near_copies``: links at an exact Jaccard similarity of 0.8 or more between sets of distinct word shingles (five words). Addresses are bands
-  of minimum hashes over the same sets. Every pair that shares one is verified, is linked already, or is ruled out by the triangle inequality.
+``link`` gives the components of fingerprints with 2 or fewer differing bits, exact and complete. Equal fingerprints are one table entry.
+Near copies by similarity of five-word shingles, which uses these matches, are in ``near_dedup``.
 
 Null texts are empty ones, and empty ones are copies of each other. Repeated rows belong to one group. An empty table gives no rows.
 """
@@ -26,12 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fraylens.llm.shared import extended, stored
+from fraylens.llm.shared import discard, extended, stored
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-#: For ``near_copies``: words of a shingle, similarity, addresses of a text and minimum hashes in each. A pair at exactly the similarity shares
-#: no address with probability (1 - 0.8 ** DEEP) ** BANDS = 5e-8, whatever the number of texts.
-WORDS, SIMILARITY, BANDS, DEEP = 5, 0.8, 32, 4
 
 
 def shingle_hashes(words: list[bytes], size: int, seed: int = SEED) -> np.ndarray:
@@ -57,15 +51,6 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The k-th independent hash of the same things."""
-    with np.errstate(over="ignore"):
-        x = hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
@@ -142,7 +127,8 @@ def match(keys: DataFrame, most: int, name: str) -> DataFrame:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """node, label: the smallest node reachable over ``edges`` (a, b). Labels spread to neighbours and jump to their label's label.
 
-    The joins have one row per node on one side; a label that many nodes share is split by the adaptive skew join.
+    The joins have one row per node on one side; a label that many nodes share is split by the adaptive skew join. A round's tables are
+    deleted as soon as the next ones are written.
     """
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), f"{name}-labels")
@@ -151,97 +137,54 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         jumped = stored(labels.join(to, "label").select("node", "label", F.least("label", "further").alias("next")), f"{name}-jump")
         near = both.join(jumped.select(F.col("node").alias("b"), "next"), "b").groupBy(F.col("a").alias("node")).agg(F.min("next").alias("near"))
         after = stored(jumped.join(near, "node").select("node", F.col("label").alias("old"), F.least("next", "near").alias("label")), f"{name}-labels")
-        labels = after.select("node", "label")
+        discard(labels, jumped)
+        labels = after
         if after.where(F.col("old") != F.col("label")).isEmpty():
-            return labels
-
-
-def link(prints: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id reachable over links of at most two differing bits.
-
-    Equal fingerprints meet in one row first, so groups of copies of any size cost one table entry.
-    """
-    groups = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-groups")
-    known = groups.where(F.col("first_id").isNotNull())
-    keys = known.select(F.explode(F.array(*ball(F.col("fp"), 0, 32), *ball(F.col("fp"), 32, 32)[1:])).alias("address"), F.col("first_id").alias("id"), F.col("fp").alias("sketch"))
-    edges = match(keys, RADIUS, "simhash-matches")
-    label = components(edges, "simhash")
-    reached = groups.join(label, groups["first_id"] == label["node"], "left").select("fp", F.coalesce("label", "first_id").alias("component_id"))
-    return prints.join(stored(reached, "simhash-components"), "fp").select("doc_id", "fp", "component_id")
-
-
-def bands(hashes: np.ndarray) -> list[int]:
-    """The addresses of a set of hashes: per band a hash of its minima under ``DEEP`` orders. Nothing for an empty set."""
-    if not len(hashes):
-        return []
-    orders = np.arange(1, BANDS * DEEP + 1).astype("u8")
-    turn, factor = mixed(orders, 1)[:, None], (mixed(orders, 2) | np.uint64(1))[:, None]
-    least = np.full(BANDS * DEEP, np.iinfo("u8").max, "u8")
-    with np.errstate(over="ignore"):
-        for at in range(0, len(hashes), 1000):  # tables that fit a core's cache
-            np.minimum(least, ((hashes[None, at:at + 1000] ^ turn) * factor).min(1), out=least)
-    return [signed(xxhash.xxh64_intdigest(m.tobytes(), k)) for k, m in enumerate(least.reshape(BANDS, DEEP))]
+            discard(both)
+            return after.select("node", "label")
 
 
-def shingle_set(text: str, size: int = WORDS) -> np.ndarray:
-    return np.unique(shingle_hashes(text.encode().lower().split(), size))
+HALF = 32
+#: Fingerprints that share a segment's value beyond this number are matched at addresses of 63 bits instead.
+CROWDED = 64
 
 
-def wide_prints(docs: DataFrame, size: int = WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, text, digest (of the word sequence), number of distinct shingles and addresses of every row."""
-    def prints(texts: list[str]) -> dict:
-        out: dict = {"digest": [], "shingles": [], "bands": []}
-        for text in texts:
-            own = shingle_set(text, size)
-            out["digest"].append(xxhash.xxh3_128_digest(b" ".join(text.encode().lower().split())))
-            out["shingles"].append(len(own))
-            out["bands"].append(bands(own))
-        return out
+def segments(value: Column) -> list[Column]:
+    """The two segments of a fingerprint."""
+    return [F.shiftrightunsigned(value, HALF), value.bitwiseAND(F.lit((1 << HALF) - 1))]
 
-    keep = keep if "text" in keep else (*keep, "text")
-    return extended(docs, keep, "digest binary, shingles int, bands array<long>", lambda: prints)
 
+def near_fingerprints(known: DataFrame, name: str = "simhash") -> DataFrame:
+    """a, b: ids of all pairs of ``known`` (distinct fp, id) whose fingerprints differ in at most two bits.
 
-def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b, exact Jaccard distance of their sets and whether it links them."""
-    both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("hashes").alias("of_a")), "a").join(
-        sets.select(F.col("digest").alias("b"), F.col("hashes").alias("of_b")), "b")
-    counted = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("shared"), (F.size("of_a") + F.size("of_b")).alias("total"))
-    alike = F.col("shared") / (F.col("total") - F.col("shared"))
-    return counted.select("a", "b", (1 - alike).alias("distance"), (alike >= similarity).alias("linked"))
+    Of two differing bits, one segment holds one at most. So every fingerprint probes the table of each segment with the Hamming ball of radius 1 around
+    its own value there, and the entries it meets are verified on all 64 bits. Values of a segment with more than ``CROWDED`` entries are split by the
+    rest of the fingerprint: whoever has or probes one is entered at the 65 addresses of ``ball`` over all bits, where only near fingerprints meet.
+    """
+    table = known.select("id", "fp", F.posexplode(F.array(*segments(F.col("fp")))).alias("segment", "value"))
+    crowded = stored(table.groupBy("segment", "value").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).drop("n"), f"{name}-crowded")
+    balls = F.array(*(F.array(*ball(s, 0, HALF)) for s in segments(F.col("fp"))))
+    probes = known.select("id", "fp", F.posexplode(balls).alias("segment", "values")).select("id", "fp", "segment", F.explode("values").alias("value"))
+    split = not crowded.isEmpty()
+    x, y = probes.alias("x"), (table.join(crowded, ["segment", "value"], "left_anti") if split else table).alias("y")
+    close = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS
+    met = x.join(y, (F.col("x.segment") == F.col("y.segment")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.id") != F.col("y.id")) & close).select(
+        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    if not split:
+        return met.distinct()
+    hot = stored(probes.join(crowded, ["segment", "value"], "left_semi").select("id", "fp").distinct(), f"{name}-hot")
+    keys = hot.select(F.explode(F.array(*ball(F.col("fp"), 0, 64))).alias("address"), "id", F.col("fp").alias("sketch"))
+    return met.unionByName(match(keys, RADIUS, f"{name}-matches")).distinct()
 
 
-def near_copies(prints: DataFrame, similarity: float = SIMILARITY, size: int = WORDS) -> DataFrame:
-    """digest, label, group (of ``wide_prints``): the smallest digest and doc_id that links of near copies reach from a word sequence.
+def link(prints: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id: the smallest doc_id reachable over links of at most two differing bits.
 
-    The first text of each address is compared with all others there. A pair that this leaves in different components is compared as well,
-    unless its distances to the first text (or its sizes) differ too much for it to be alike, so large groups are never paired with themselves.
+    Equal fingerprints meet in one row first, so groups of copies of any size cost one table entry.
     """
-    one = stored(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("shingles").alias("n"), F.first("bands").alias("bands")), "near-sequences")
-    entries = one.select("digest", "n", F.explode("bands").alias("address"))
-    firsts = entries.groupBy("address").agg(F.min("digest").alias("head"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
-    met = stored(entries.join(firsts, "address").select("address", "head", F.col("digest").alias("node"), "n"), "near-met")
-    wanted = met.select(F.col("node").alias("digest")).distinct()
-    texts = prints.select("digest", "text").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
-    sets = stored(extended(texts, ("digest",), "hashes array<long>", lambda: lambda batch: {"hashes": [shingle_set(t, size).view("i8") for t in batch]}), "near-sets")
-    stars = met.where("head != node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    first = stored(compared(stars, sets, similarity), "near-stars")
-    label = components(first.where("linked"), "near-first")
-
-    known = met.join(first.select(F.col("a").alias("head"), F.col("b").alias("node"), "distance"), ["head", "node"]).join(label, "node", "left").select(
-        "address", "node", "n", "distance", F.coalesce("label", "node").alias("label"))
-    known = stored(known, "near-known")
-    several = known.groupBy("address").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("address")
-    open_ = stored(known.join(several, "address", "left_semi"), "near-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - similarity + 1e-9
-    sizes = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
-    cross = x.join(y, (F.col("x.address") == F.col("y.address")) & (F.col("x.label") < F.col("y.label")) & apart & sizes).select(
-        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    second = stored(compared(cross, sets, similarity), "near-others")
-
-    label = components(first.unionByName(second).where("linked"), "near")
-    named = stored(one.join(label, F.col("digest") == F.col("node"), "left").select(
-        "digest", "doc_id", F.coalesce("label", "digest").alias("label")), "near-named")
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("group"))
-    return named.join(smallest, "label").select("digest", "label", F.coalesce("group", F.xxhash64("label")).alias("group"))
+    groups = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-groups")
+    known = groups.where(F.col("first_id").isNotNull()).select("fp", F.col("first_id").alias("id"))
+    edges = near_fingerprints(known)
+    label = components(edges, "simhash")
+    reached = groups.join(label, groups["first_id"] == label["node"], "left").select("fp", F.coalesce("label", "first_id").alias("component_id"))
+    return prints.join(stored(reached, "simhash-components"), "fp").select("doc_id", "fp", "component_id")

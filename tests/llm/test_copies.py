@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fraylens.llm import simhash, spotsigs
+from fraylens.llm import near_dedup, ngram_join, simhash, spotsigs
 
 
 def brute_fingerprint(text, k=3):
@@ -70,8 +70,7 @@ def test_near_copies_of_edited_texts(spark):
                 own[rng.randrange(200)] = rng.choice(vocabulary)
             rows.append((f * 10 + c, " ".join(own)))
             family[f * 10 + c] = f
-    prints = simhash.wide_prints(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {r["doc_id"]: r["group"] for r in prints.join(simhash.near_copies(prints), "digest").select("doc_id", "group").collect()}
+    got = near_groups(spark, dict(rows))
     assert all(family[i] == family[g] for i, g in got.items())
     assert sum(got[i] == min(j for j in got if family[j] == family[i]) for i in got) >= 0.97 * len(got)
 
@@ -88,8 +87,12 @@ def jaccard_groups(texts):
 
 
 def near_groups(spark, texts):
-    prints = simhash.wide_prints(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
-    return {r["doc_id"]: r["group"] for r in prints.join(simhash.near_copies(prints), "digest").collect()}
+    """Smallest id of each text's group."""
+    rows = near_dedup.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()
+    least = {}
+    for r in rows:
+        least[r["label"]] = min(r["doc_id"], least.get(r["label"], r["doc_id"]))
+    return {r["doc_id"]: least[r["label"]] for r in rows}
 
 
 def test_near_copies_among_texts_of_the_same_words(spark):
@@ -137,9 +140,55 @@ def test_near_copies_are_exact(spark):
 
 def test_texts_under_one_id_are_no_copies(spark):
     one, two, three = (" ".join(f"{k}{i}" for i in range(100)) for k in "abc")
-    prints = simhash.wide_prints(spark.createDataFrame([(1, one), (1, two), (2, one + " x"), (3, two + " y"), (None, three)], "doc_id long, text string"))
-    labels = {r["digest"]: r["label"] for r in simhash.near_copies(prints).collect()}
-    assert len(labels) == 5 and len(set(labels.values())) == 3
+    rows = near_dedup.groups(spark.createDataFrame([(1, one), (1, two), (2, one + " x"), (3, two + " y"), (None, three), (4, ""), (5, None)], "doc_id long, text string")).collect()
+    labels = {(r["doc_id"], r["digest"]): r["label"] for r in rows}
+    assert len(labels) == 7 and len(set(labels.values())) == 4
+
+
+def test_crowded_segments(spark, monkeypatch):
+    """Hundreds of fingerprints share one half; pairs within two bits are found on either side of it, and far ones aren't."""
+    monkeypatch.setattr(simhash, "CROWDED", 8)
+    rng = random.Random(9)
+    low, prints = rng.getrandbits(32), []
+    for _ in range(60):
+        high = rng.getrandbits(32)
+        prints.append(high << 32 | low)
+        for _ in range(3):
+            other = prints[-1]
+            for _ in range(rng.randrange(1, 4)):
+                other ^= 1 << rng.randrange(64)
+            prints.append(other)
+    prints = sorted(set(prints))
+    want = {(a, b) for a in range(len(prints)) for b in range(a + 1, len(prints)) if (prints[a] ^ prints[b]).bit_count() <= 2}
+    df = spark.createDataFrame([(i, simhash.signed(f)) for i, f in enumerate(prints)], "id long, fp long")
+    rows = simhash.near_fingerprints(df).collect()
+    assert {(r["a"], r["b"]) for r in rows} == want and len(rows) == len(want) > 60
+
+
+def test_near_copies_of_a_large_family_and_a_passage(spark):
+    """2,000 near copies of one text, and 1,000 texts that share one passage: groups are exact, pairs to compare grow in proportion."""
+    def texts(family, sharing):
+        rng = random.Random(31)
+        word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+        original, passage = [word() for _ in range(150)], [word() for _ in range(120)]
+        out = {}
+        for i in range(family):
+            own = list(original)
+            for _ in range(rng.randrange(6)):
+                own[rng.randrange(150)] = word()
+            out[i] = " ".join(own)
+        for i in range(sharing):
+            out[100_000 + i] = " ".join([word() for _ in range(rng.randrange(20, 60))] + passage + [word() for _ in range(30)])
+        return out
+
+    def pairs(rows):
+        docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+        sets = ngram_join.shared_sets(docs, 5, 80, 4).cache()
+        return ngram_join.candidates(sets, 80)[1].distinct().count()
+
+    assert pairs(texts(2000, 1000)) <= 12 * 3000
+    some = texts(300, 150)
+    assert near_groups(spark, some) == jaccard_groups(some)
 
 
 def brute_next(rows):
