@@ -1,22 +1,18 @@
-"""Structured Streaming: live encounters, rates, periods, de-duplication, late rows, statistics.
+"""Structured Streaming: sources, sinks, rates, periods, de-duplication, late rows, statistics.
 
-All keyed aggregation is Spark's own (partial aggregation before the shuffle, watermarked
-state). The only Python state is the encounter machine, which sees boundary rows alone.
+All keyed aggregation here is Spark's own (partial aggregation before the shuffle, watermarked state); state machines are in ``stateful``.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from fraylens.functions import classify as C
-from fraylens.operators.metrics import effective, top_per_group
+from fraylens.operators.metrics import effective
 from fraylens.operators.ordered import newest
 
 MESSAGE = "client_id string, session_id string, seq bigint, client_ts double, line string"
@@ -79,62 +75,6 @@ def stored(spark: SparkSession, path: str, keys: Sequence[str] | None = None) ->
     return newest(d, keys, ["batch_id"]).drop("batch_id") if keys else d.drop("batch_id")
 
 
-# --- live encounters -----------------------------------------------------------------------------------
-
-ENCOUNTER_ROWS = ("guild_id long, encounter_id long, boss_id long, pull_number long, start_us long, end_us long, "
-                  "success boolean, status string")
-ENCOUNTER_STATE = "pending string, open string, pulls string"
-
-
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Order boundary rows of one guild by event time and pair starts with ends.
-
-    Rows wait in the state until the watermark has passed them, so files in any order
-    give the same encounters. State size: one open encounter, pull counters and the
-    boundary rows of one watermark delay.
-    """
-    pending, open_, pulls = (json.loads(x) for x in state.get) if state.exists else ([], None, {})
-    for frame in frames:
-        pending += frame[["us", "line_no", "event_type", "boss_id", "success"]].astype(object).values.tolist()
-    pending.sort(key=lambda r: (r[0], r[1]))
-    ready_us = (state.getCurrentWatermarkMs() + 1) * 1000
-    out, rest = [], []
-
-    def close(end_us, success, status):
-        out.append((key[0], open_["line"], open_["boss"], open_["pull"], open_["us"], end_us, success, status))
-
-    for us, line, kind, boss, success in pending:
-        if us >= ready_us:
-            rest.append([int(us), int(line), kind, int(boss), bool(success)])
-        elif kind == "ENCOUNTER_START":
-            if open_:
-                close(None, None, "replaced")
-            n = pulls[str(boss)] = pulls.get(str(boss), 0) + 1
-            open_ = {"us": int(us), "line": int(line), "boss": int(boss), "pull": n}
-        elif open_ and open_["boss"] == boss:
-            close(int(us), bool(success), "closed")
-            open_ = None
-    state.update((json.dumps(rest), json.dumps(open_), json.dumps(pulls)))
-    if rest:
-        state.setTimeoutTimestamp(max(rest[0][0] // 1000 - 1, state.getCurrentWatermarkMs() + 1))
-    columns = ["guild_id", "encounter_id", "boss_id", "pull_number", "start_us", "end_us", "success", "status"]
-    frame = pd.DataFrame(out, columns=columns)
-    yield frame.astype({"end_us": "Int64", "success": "boolean"})
-
-
-def live_encounters(boundaries: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Finished encounters per guild from a stream of boundary rows, exact under reordering within ``delay``.
-
-    Input: guild_id, ts, line_no, event_type, boss_id, success. Keep the filter to boundary
-    types in front: it is what makes one guild's stream small.
-    """
-    d = boundaries.withWatermark("ts", delay).select(
-        "guild_id", "ts", F.unix_micros("ts").alias("us"), "line_no", "event_type",
-        F.coalesce("boss_id", F.lit(-1)).cast("long").alias("boss_id"), F.coalesce("success", F.lit(False)).alias("success"))
-    return d.groupBy("guild_id").applyInPandasWithState(
-        _advance, ENCOUNTER_ROWS, ENCOUNTER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 # --- live rates --------------------------------------------------------------------------------------------
 
 def live_damage(events: DataFrame, span: str = "1 day", delay: str = "10 minutes") -> DataFrame:
@@ -149,30 +89,8 @@ def live_damage(events: DataFrame, span: str = "1 day", delay: str = "10 minutes
             .select(F.col("w.start").alias("window_start"), "encounter_key", "guid", "damage", "healing", "first_ts", "last_ts", "events"))
 
 
-def top_dps_writer(path: str, n: int = 5):
-    """foreachBatch for ``live_damage`` in update mode: the best ``n`` of every encounter that changed.
-
-    Changed rows are kept by (window, batch), so only the windows touched by a batch are read again.
-    """
-    rows_path, top_path = f"{path}/rows", f"{path}/top"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        changed = batch.withColumns({"day": F.to_date("window_start"), "version": F.lit(batch_id)})
-        changed.write.mode("overwrite").partitionBy("day").parquet(f"{rows_path}/batch={batch_id}")
-        mine = spark.read.schema(changed.schema).parquet(f"{rows_path}/batch={batch_id}")
-        every = spark.read.schema(changed.schema).option("basePath", rows_path).parquet(f"{rows_path}/batch=*")
-        touched = mine.select("day", "encounter_key").distinct()
-        latest = newest(every.filter(F.col("version") <= batch_id).join(touched, ["day", "encounter_key"], "left_semi"),
-                        ["window_start", "encounter_key", "guid"], ["version"])
-        top = top_per_group(latest.filter("damage > 0"), ["encounter_key"], [F.desc("damage"), "guid"], n)
-        top.select("encounter_key", "guid", "damage", "rank").write.mode("overwrite").parquet(f"{top_path}/batch_id={batch_id}")
-
-    return write
-
-
 def performance_alerts(rates: DataFrame, threshold: float) -> DataFrame:
-    """Characters whose damage or healing rate over their active span exceeds the threshold."""
+    """Characters whose damage or healing rate over their active span exceeds the threshold; a filter, on a stream of rates as on a table."""
     span = (F.unix_micros("last_ts") - F.unix_micros("first_ts")) / F.lit(1e6)
     d = rates.withColumns({"dps": C.ratio(F.col("damage"), span), "hps": C.ratio(F.col("healing"), span)})
     return d.filter((F.col("dps") > threshold) | (F.col("hps") > threshold))
@@ -200,12 +118,6 @@ def dedupe_sequences(lines: DataFrame, ts: str = "received", delay: str = "10 mi
     return lines.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["client_id", "seq"])
 
 
-def acknowledgements(lines: DataFrame) -> DataFrame:
-    """Highest sequence, rows and missing numbers per client (batch, or update mode on a stream)."""
-    g = lines.groupBy("client_id").agg(F.max("seq").alias("acked"), F.min("seq").alias("first_seq"), F.count("*").alias("received_rows"))
-    return g.withColumn("missing", F.col("acked") - F.col("first_seq") + 1 - F.col("received_rows"))
-
-
 class LateRouter:
     """foreachBatch function that sends rows older than ``delay`` behind the newest earlier row to a side table.
 
@@ -251,13 +163,23 @@ def session_status(lines: DataFrame, client: str, ts: str, idle: str = "300 seco
 
 
 def stream_stats(tokens: DataFrame, width: str = "1 minute", delay: str = "10 minutes", ts: str = "received") -> DataFrame:
-    """Lines, errors, error rate and lines per second per window."""
+    """Lines, errors, error rate, lines per second and the lag (reception behind the line's own time, of readable lines) per window."""
     bad = F.col("ts").isNull() | F.col("event_type").isNull()
     w = F.window(ts, width)
-    g = tokens.withWatermark(ts, delay).groupBy(w.alias("w")).agg(F.count("*").alias("lines"), F.count_if(bad).alias("errors"))
+    lag = F.when(~bad, F.unix_micros(ts) - F.unix_micros(F.col("ts")))
+    g = tokens.withWatermark(ts, delay).groupBy(w.alias("w")).agg(
+        F.count("*").alias("lines"), F.count_if(bad).alias("errors"), F.max(lag).alias("most"), F.sum(lag).alias("total"))
     seconds = (F.unix_micros("w.end") - F.unix_micros("w.start")) / F.lit(1e6)
     return g.select(F.col("w.start").alias("window_start"), "lines", "errors", (F.col("errors") / F.col("lines")).alias("error_rate"),
-                    (F.col("lines") / seconds).alias("lines_per_second"))
+                    (F.col("lines") / seconds).alias("lines_per_second"), (F.col("most") / F.lit(1e6)).alias("max_lag_seconds"),
+                    (F.col("total") / (F.col("lines") - F.col("errors")) / F.lit(1e6)).alias("mean_lag_seconds"))
+
+
+def active_encounters(encounters: DataFrame, keys: Sequence[str] = ("encounter_type",)) -> DataFrame:
+    """Open, finished and given-up encounters per ``keys`` in the newest rows of ``stateful.live_encounters``."""
+    status = F.col("status")
+    return encounters.groupBy(*keys).agg(F.count_if(status == "in_progress").alias("active"), F.count_if(status == "closed").alias("finished"),
+                                         F.count_if(status.isin("replaced", "idle")).alias("abandoned"))
 
 
 def progress_row(progress: dict) -> dict:

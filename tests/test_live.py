@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fraylens.operators import segments
-from fraylens.streaming import live
+from fraylens.streaming import live, stateful
 
 SCHEMA = "guild_id long, us long, line_no long, event_type string, boss_id long, success boolean"
 
@@ -22,16 +22,10 @@ def test_encounters_do_not_depend_on_file_order(spark, tmp_path, order):
         spark.createDataFrame([r for r in rows if min(r[2] // 10, 2) == part], SCHEMA).coalesce(1).write.mode("append").parquet(src)
     frame = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_micros("us"))
     stream = live.stream_table(spark, src, frame.drop("ts").schema, 1).withColumn("ts", F.timestamp_micros("us"))
-    live.run_available(live.live_encounters(stream, "1000 seconds"), "append", live.batch_writer(f"{tmp_path}/out"), f"{tmp_path}/state")
+    live.run_available(stateful.live_encounters(stream, "1000 seconds").where("status <> 'in_progress'"), "update", live.batch_writer(f"{tmp_path}/out"), f"{tmp_path}/state")
     got = {(r.guild_id, r.encounter_id, r.pull_number, r.end_us, r.success) for r in live.stored(spark, f"{tmp_path}/out").collect()}
     b = frame.withColumn("boss_name", F.lit("b"))
     want = {(r.guild_id, r.encounter_id, r.pull_number, r.end_us, r.success) for r in segments.unified_encounters(b, ["guild_id"])
             .withColumn("end_us", F.unix_micros("end_ts")).collect()}
     last_open = {w for w in want if w[3] is None} - got
     assert got <= want and len(want - got) == len(last_open) and len(last_open) <= 3
-
-
-def test_acknowledgements(spark):
-    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 5)], "client_id string, seq long")
-    r = live.acknowledgements(df).first()
-    assert (r.acked, r.missing) == (5, 2)
