@@ -63,15 +63,15 @@ m AS (SELECT guild_id, file_id, 4000000000 + us // 86400000000 * 2 AS encounter_
 TOTALS = ["damage_done", "overkill_done", "healing_done", "damage_taken", "healing_received", "casts", "deaths", "total_events"]
 
 
-@query("e2e_log_to_metrics", f"WITH {{EV}}, {E2E} SELECT * EXCLUDE (file_id) FROM m WHERE guild_id = 1")
+@query("e2e_log_to_metrics", f"""WITH {{EV}}, {E2E}, lines AS (SELECT count(*) + count(*) FILTER (event_type = 'SPELL_DAMAGE') AS n FROM ev),
+day AS (SELECT d, dense_rank() OVER (ORDER BY d) AS k FROM (SELECT DISTINCT epoch_us(ts) // 86400000000 AS d FROM ev))
+SELECT m.* EXCLUDE (file_id) REPLACE (lines.n + 2 * day.k - 1 AS encounter_id) FROM m, lines, day WHERE guild_id = 1 AND day.d = (m.encounter_id - 4000000000) // 2""")
 def _(t: Tables):
-    lines = upload_lines(t).filter("guild_id = 1")
     path = work_folder(t.spark, "raw-log")
-    # through files: the typed lines are written as text with their number, and read again
-    lines.select("line_no", "line").write.option("sep", "\t").option("quote", "").csv(path)
-    read = t.spark.read.schema("line_no long, line string").option("sep", "\t").option("quote", "").csv(path)
-    read = read.select(F.lit(1).cast("long").alias("guild_id"), F.lit("a").alias("file_id"), F.lit(0).cast("long").alias("block"), "line_no", "line")
-    return pipeline.metrics_of_lines(read).select("guild_id", "encounter_id", "guid", *TOTALS)
+    # one text file; an encounter's id is the line that it starts in
+    lines = upload_lines(t).filter("guild_id = 1")
+    lines.repartition("file_id").sortWithinPartitions("file_id", "line_no").select("file_id", "line").write.partitionBy("file_id").text(path)
+    return pipeline.character_metrics(t.spark, path, 1).select("guild_id", "encounter_id", "guid", *TOTALS)
 
 
 @query("e2e_two_guilds_same_log", f"WITH {{EV}}, {E2E} SELECT * FROM m")

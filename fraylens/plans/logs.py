@@ -40,16 +40,17 @@ MS = "epoch_us(ts) // 1000 * 1000"
 TYPE = "CASE WHEN event_type = 'SPELL_RESURRECT' THEN 'SPELL_AURA_APPLIED_DOSE' ELSE event_type END"
 
 
-@query("s01_read_log", """WITH {EV} SELECT count(*) AS lines, CAST(sum(line_no) AS BIGINT) AS checksum, count(*) FILTER (spell_id = 7) AS broken FROM ev""")
+@query("s01_read_log", """WITH {EV}, t AS (SELECT line_no, guild_id, spell_id, CASE WHEN line_no % 10 = 0 THEN 3 ELSE 1 END AS taken FROM ev)
+SELECT line_no AS event_id, guild_id AS file, CAST(sum(taken) OVER (PARTITION BY guild_id ORDER BY line_no) AS BIGINT) AS line_no, spell_id = 7 AS broken FROM t""")
 def _(t: Tables):
     path = work_folder(t.spark, "log")
-    text = log_lines(t).select(F.when(F.col("line_no") % 10 == 0, F.concat(F.lit("# note\n\n"), "line")).otherwise(F.col("line")).alias("value"),
-                               F.col("line_no").cast("string").alias("n"))
-    text.select(F.concat_ws("|", "n", F.regexp_replace("value", "^# note\n\n", "")).alias("v"), "value").select(
-        F.when(F.col("value").startswith("#"), F.concat(F.lit("# note\n   \n"), "v")).otherwise(F.col("v")).alias("value")).write.text(path)
-    d = log.read_log(t.spark, path)
-    return d.agg(F.count("*").alias("lines"), F.sum(F.substring_index("line", "|", 1).cast("long")).alias("checksum"),
-                 F.count_if(F.col("line").contains("|broken")).alias("broken"))
+    # one file per guild; a note and a blank line stand before every tenth line and are counted, not returned
+    text = log_lines(t).select("guild_id", "line_no", F.concat(
+        F.when(F.col("line_no") % 10 == 0, F.lit("# note\n   \n")).otherwise(""), F.col("line_no").cast("string"), F.lit("|"), "line").alias("value"))
+    text.repartition("guild_id").sortWithinPartitions("guild_id", "line_no").select("guild_id", "value").write.partitionBy("guild_id").text(path)
+    d = log.read_log(t.spark, path).drop("guild_id")
+    return d.select(F.substring_index("line", "|", 1).cast("long").alias("event_id"), F.regexp_extract("file_id", "guild_id=([0-9]+)", 1).cast("long").alias("file"),
+                    "line_no", F.col("line").contains("|broken").alias("broken"))
 
 
 @query("s02_tokenize", f"""WITH {{EV}} SELECT line_no, CASE WHEN spell_id <> 7 THEN {MS} END AS ts_us, CASE WHEN spell_id <> 7 THEN -4 END AS tz_offset, CASE WHEN spell_id <> 7 THEN {TYPE} END AS event_type,

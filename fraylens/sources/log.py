@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fraylens.functions import classify as C
 from fraylens.functions import lookups as L
 from fraylens.operators.ordered import carry, upto
+from fraylens.session import stored
 
 STAMP = r"^(\d{1,2}/\d{1,2}/\d{4})\s+(\d{1,2}:\d{2}:\d{2}\.\d{3})([-+]\d+)\s\s(.+)$"
 _QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
@@ -25,19 +26,43 @@ SPECIAL = ["COMBAT_LOG_VERSION", "ZONE_CHANGE", "MAP_CHANGE", "ENCOUNTER_START",
            "CHALLENGE_MODE_START", "CHALLENGE_MODE_END", "COMBATANT_INFO"]
 
 
+#: Splits whose line offsets (some 40 bytes each) are sent to every task; with more of them lines are joined to their split's offset by shuffle.
+OFFSETS_SENT = 500_000
+
+
+def raw_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """file_id, block (offset of the input split) and value of every line, and ``at``: a number that counts the lines of a task one by one."""
+    raw = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    return raw.select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"),
+                      F.monotonically_increasing_id().alias("at"), "value")
+
+
+def line_offsets(raw: DataFrame) -> DataFrame:
+    """Per split: the file's lines before it, its own number of lines and the number of its first one. A row per split, windows per file."""
+    splits = raw.groupBy("file_id", "block").agg(F.min("at").alias("first_at"), F.count("*").alias("lines"))
+    earlier = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.select(F.xxhash64("file_id").alias("__file"), F.col("block").alias("__block"), "first_at", "lines",
+                         F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before"))
+
+
 def read_log(spark: SparkSession, paths: str | Sequence[str], guild_id: int = 1) -> DataFrame:
     """Lines with file and position; blank and ``#`` lines are skipped.
 
-    ``block`` is the offset of the input split and ``line_no`` grows inside a file, so
-    (file_id, block, line_no) is the file order and ``block`` cuts a huge file into
-    buckets for order-dependent columns.
+    ``line_no`` is the physical line of the file from 1, the same at every ingest and for any size of the splits: a first pass counts the lines of each
+    split when this is called, their prefix sums are added to the position inside the split. ``block`` is the offset of the split; (file_id, line_no)
+    is the file order and ``block`` never falls along it, so it cuts a huge file into buckets for order-dependent columns. Files that change between
+    the passes, or another cut of them, are an error and never a wrong number.
     """
-    raw = spark.read.text(paths if isinstance(paths, str) else list(paths))
-    return raw.select(
-        F.lit(guild_id if guild_id and guild_id > 0 else 1).cast("long").alias("guild_id"),
-        F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line_no"), F.rtrim("value").alias("line"),
-    ).filter((F.trim("line") != "") & ~F.col("line").startswith("#"))
+    raw = raw_lines(spark, paths)
+    offsets = stored(line_offsets(raw), "line-offsets")
+    few = offsets.count() <= OFFSETS_SENT
+    lines = raw.join(F.broadcast(offsets) if few else offsets, (F.xxhash64("file_id") == F.col("__file")) & (F.col("block") == F.col("__block")), "left")
+    inside = F.col("at") - F.col("first_at")
+    sound = F.coalesce((inside >= 0) & (inside < F.col("lines")), F.lit(False))
+    number = F.when(sound, F.col("before") + inside + 1).otherwise(F.raise_error(F.lit("log files changed while they were read")).cast("long"))
+    return lines.select(
+        F.lit(guild_id if guild_id and guild_id > 0 else 1).cast("long").alias("guild_id"), "file_id", "block", number.alias("line_no"),
+        F.rtrim("value").alias("line")).filter((F.trim("line") != "") & ~F.col("line").startswith("#"))
 
 
 def tokenize(lines: DataFrame) -> DataFrame:

@@ -120,3 +120,46 @@ def test_registered_event_field(events):
     finally:
         log.EXTRA_FIELDS.clear()
     assert got[list(LINES).index("energize")] == 100 and got[list(LINES).index("heal")] is None
+
+
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    """Physical lines, at every ingest and for any cut of the files; blank and comment lines count."""
+    texts = {}
+    for k in range(3):
+        lines = [("# note" if i % 11 == 0 else "" if i % 13 == 0 else f"{k}:{i} " + "x" * (i * 37 % 200)) for i in range(1, 900 * (k + 1))]
+        texts[k] = lines
+        (tmp_path / f"log{k}.txt").write_text("\n".join(lines) + "\n")
+    want = {(k, i + 1, line.rstrip(" ")) for k, lines in texts.items() for i, line in enumerate(lines) if line.strip() and not line.startswith("#")}
+    key, splits = "spark.sql.files.maxPartitionBytes", set()
+    before = spark.conf.get(key)
+    try:
+        for size in ("128m", "64k", "7k", "1k"):
+            spark.conf.set(key, size)
+            rows = log.read_log(spark, str(tmp_path)).collect()
+            assert {(int(r.file_id[-5]), r.line_no, r.line) for r in rows} == want and len(rows) == len(want)
+            splits.add(len({(r.file_id, r.block) for r in rows}))
+            by_file = sorted((r.file_id, r.line_no, r.block) for r in rows)
+            assert all(a[2] <= b[2] for a, b in zip(by_file, by_file[1:]) if a[0] == b[0])
+    finally:
+        spark.conf.set(key, before)
+    assert min(splits) == 3 and max(splits) > 30
+
+
+def test_many_splits_are_joined(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_text("".join(f"{i}\n" for i in range(1, 500)))
+    monkeypatch.setattr(log, "OFFSETS_SENT", 0)
+    assert {(r.line_no, r.line) for r in log.read_log(spark, str(tmp_path)).collect()} == {(i, str(i)) for i in range(1, 500)}
+
+
+def test_another_cut_is_an_error(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"{i} {'y' * 50}\n" for i in range(1, 500)))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "1k")
+        lines = log.read_log(spark, str(tmp_path))
+        spark.conf.set(key, "128m")
+        with pytest.raises(Exception, match="changed while"):
+            lines.collect()
+    finally:
+        spark.conf.set(key, before)
