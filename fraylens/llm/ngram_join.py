@@ -11,7 +11,7 @@ head, with the fewest tokens of its own). Each member is compared with the head
 slack. Any other pair of the family must share a token of their differences, again among the first few in order of rarity, so only the few members
 far from the centre are joined, on (head, token). A family of near copies thus costs a row per member instead of all its pairs, and no link is lost.
 
-Equal sets are one node. Tokens are 56-bit hashes, nodes 64-bit ones. Counting deals tokens to buckets of about ``BUCKET`` rows; a token that ``FREQUENT``
+Equal sets are one node. Tokens are 56-bit hashes, nodes 64-bit ones. Counting deals tokens to buckets of about ``BUCKET``, packed by batch; a token that ``FREQUENT``
 sets of one batch share is sent once by that batch, and copies of a text once by a task, so neither fills a bucket.
 
 Null and empty texts have no set and are linked with nothing. Repeated rows and equal texts belong together; a row without id has its group's id, if it
@@ -20,10 +20,11 @@ has one. Other columns are never read. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,14 +55,12 @@ def members(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return extended(docs, ("doc_id",), "node long, n_shingles long", lambda: run)
 
 
-ROWS = pa.schema([("bucket", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("ready", pa.bool_()), ("tokens", pa.list_(pa.int64()))])
-ROWS_SQL = "bucket int, node long, n int, ready boolean, tokens array<long>"
-
-
-def _rows(bucket: np.ndarray, node: np.ndarray, n: np.ndarray, ready: bool, cuts: np.ndarray, tokens: np.ndarray, known: bool = True) -> pa.RecordBatch:
-    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(tokens, pa.int64()))
-    nodes = pa.array(node, pa.int64()) if known else pa.nulls(len(bucket), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), nodes, pa.array(n, pa.int32()), pa.array(np.full(len(bucket), ready)), lists], schema=ROWS)
+#: Tokens of several sets in one row: ``key`` is a bucket of tokens or a group of nodes, lists are parallel but for ``tokens``, which has ``sizes`` of each.
+PACKED = pa.schema([("key", pa.int64()), ("kind", pa.int8()), ("nodes", pa.list_(pa.int64())), ("ns", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())),
+                    ("tokens", pa.list_(pa.int64()))])
+PACKED_SQL = "key long, kind tinyint, nodes array<long>, ns array<int>, sizes array<int>, tokens array<long>"
+#: Kinds of rows: tokens to be counted, tokens known to be frequent, and news of frequent tokens without their sets.
+PLAIN, READY, NEWS = 0, 1, 2
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -71,8 +70,27 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _packed(kind: int, key: np.ndarray, node: np.ndarray, n: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
+    """A row per key. Arguments are by token and sorted by key, then node."""
+    run = _runs(key, node) if len(key) else np.zeros(0, "i8")
+    row = _runs(key[run]) if len(run) else np.zeros(0, "i8")
+    cuts = pa.array(np.append(row, len(run)), pa.int32())
+    ends = np.append(run, len(tokens))
+    lists = lambda values, kind_: pa.ListArray.from_arrays(cuts, pa.array(values, kind_))
+    return pa.RecordBatch.from_arrays([
+        pa.array(key[run[row]], pa.int64()), pa.array(np.full(len(row), kind), pa.int8()), lists(node[run], pa.int64()), lists(n[run], pa.int32()),
+        lists(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends[np.append(row, len(run))], pa.int32()), pa.array(tokens, pa.int64()))], schema=PACKED)
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """kind, node, n and size of every set in the rows, and all tokens."""
+    flat = lambda name: pc.list_flatten(table.column(name)).to_numpy()
+    sets = pc.list_value_length(table.column("nodes")).to_numpy()
+    return np.repeat(table.column("kind").to_numpy(), sets), flat("nodes"), flat("ns"), flat("sizes"), flat("tokens")
+
+
 def _dealt(sets: list[np.ndarray], nodes: list[int], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one batch: tokens by bucket and node; tokens frequent here as ready rows of their nodes and once as news for their bucket."""
+    """Rows of one batch: tokens by bucket; tokens frequent here as ready rows of their nodes and once as news for their bucket."""
     size = np.fromiter(map(len, sets), "i8", len(sets))
     tokens, own, node = np.concatenate(sets), np.repeat(np.arange(len(sets)), size), np.array(nodes, "i8")
     order = np.argsort(tokens, kind="stable")
@@ -80,23 +98,15 @@ def _dealt(sets: list[np.ndarray], nodes: list[int], buckets: int) -> Iterator[p
     first = _runs(tokens)
     count = np.diff(np.append(first, len(tokens)))
     often = np.repeat(count >= FREQUENT, count)
-    # ready rows: (node, its frequent tokens)
-    t, o = tokens[often] | np.int64(FREQUENT) << TOKEN_BITS, own[often]
-    if len(t):
-        by = np.argsort(o, kind="stable")
-        t, o = t[by], o[by]
-        at = _runs(o)
-        yield _rows((node[o[at]] % buckets).astype("i4"), node[o[at]], size[o[at]], True, np.append(at, len(t)), t)
-        news = tokens[first[count >= FREQUENT]]
-        news = news[np.argsort(news % buckets, kind="stable")]
-        at = _runs(news % buckets)
-        yield _rows((news[at] % buckets).astype("i4"), np.zeros(len(at), "i8"), np.zeros(len(at), "i4"), False, np.append(at, len(news)), news, known=False)
+    t, o = tokens[often] | np.int64(FREQUENT) << np.int64(TOKEN_BITS), own[often]
+    by = np.lexsort((node[o], node[o] % buckets))
+    yield _packed(READY, (node[o] % buckets)[by], node[o][by], size[o][by], t[by])
+    t = tokens[first[count >= FREQUENT]]
+    by = np.argsort(t % buckets, kind="stable")
+    yield _packed(NEWS, (t % buckets)[by], np.zeros(len(t), "i8"), np.zeros(len(t), "i8"), t[by])
     t, o = tokens[~often], own[~often]
-    if len(t):
-        by = np.lexsort((o, t % buckets))
-        t, o = t[by], o[by]
-        at = _runs(t % buckets, o)
-        yield _rows((t[at] % buckets).astype("i4"), node[o[at]], size[o[at]], False, np.append(at, len(t)), t)
+    by = np.lexsort((node[o], t % buckets))
+    yield _packed(PLAIN, (t % buckets)[by], node[o][by], size[o][by], t[by])
 
 
 def deal(docs: DataFrame, size: int, buckets: int) -> DataFrame:
@@ -119,42 +129,55 @@ def deal(docs: DataFrame, size: int, buckets: int) -> DataFrame:
         if sets:
             yield from _dealt(sets, nodes, buckets)
 
-    return docs.select(text_of().alias("text")).where("text != ''").mapInArrow(run, ROWS_SQL)
-
-
-def counted(table: pa.Table) -> pa.Table:
-    """One bucket: of each node the tokens that other sets have too, as ``holders << 56 | token`` (``FREQUENT`` stands for that many or more)."""
-    table = table.combine_chunks()
-    col = lambda name: table.column(name).chunk(0) if table.num_rows else None
-    lists, ready = col("tokens"), col("ready").to_numpy(zero_copy_only=False)
-    known = col("node").is_valid().to_numpy(zero_copy_only=False)
-    node, n = col("node").fill_null(0).to_numpy(), col("n").to_numpy()
-    cuts, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-    length = np.diff(cuts)
-    kind = np.where(ready, 1, np.where(known, 0, 2))
-    rows = np.arange(len(node))
-    once = rows[kind == 0][np.unique(node[kind == 0], return_index=True)[1]]  # a node comes once from each task that has it
-    use = np.zeros(len(node), bool)
-    use[once] = True
-    of = np.repeat(rows, length)
-    values = values[cuts[0]:cuts[-1]]
-    plain, owner = values[use[of]], of[use[of]]
-    distinct, back, count = np.unique(plain, return_inverse=True, return_counts=True)
-    news = np.unique(values[(kind == 2)[of]])
-    count = np.where(np.isin(distinct, news), FREQUENT, np.minimum(count, FREQUENT)).astype("i8")
-    holders = count[back]
-    shared = holders > 1
-    packed, owner = plain[shared] | holders[shared] << np.int64(TOKEN_BITS), owner[shared]
-    done = (kind == 1)[of]
-    packed, owner = np.concatenate([packed, values[done]]), np.concatenate([owner, of[done]])
-    by = np.lexsort((packed, node[owner]))
-    packed, owner = packed[by], owner[by]
-    fresh = np.ones(len(packed), bool)
-    fresh[1:] = (packed[1:] != packed[:-1]) | (node[owner[1:]] != node[owner[:-1]])
-    packed, owner = packed[fresh], owner[fresh]
-    at = _runs(node[owner]) if len(owner) else np.zeros(0, "i8")
-    out = pa.ListArray.from_arrays(pa.array(np.append(at, len(packed)), pa.int32()), pa.array(packed, pa.int64()))
-    return pa.table({"node": pa.array(node[owner[at]], pa.int64()), "n": pa.array(n[owner[at]], pa.int32()), "tokens": out})
+    return docs.select(text_of().alias("text")).where("text != ''").mapInArrow(run, PACKED_SQL)
+
+
+def counted(groups: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one bucket: of each node the tokens that other sets have too, as ``holders << 56 | token`` (``FREQUENT`` stands for that many or more), by node group."""
+    def run(table: pa.Table) -> pa.Table:
+        kind, node, n, size, values = _unpacked(table)
+        rows = np.arange(len(node))
+        use = np.zeros(len(node), bool)
+        use[rows[kind == PLAIN][np.unique(node[kind == PLAIN], return_index=True)[1]]] = True  # a node comes once from each task that has it
+        of = np.repeat(rows, size)
+        plain, owner = values[use[of]], of[use[of]]
+        distinct, back, count = np.unique(plain, return_inverse=True, return_counts=True)
+        news = np.unique(values[(kind == NEWS)[of]])
+        holders = np.where(np.isin(distinct, news), FREQUENT, np.minimum(count, FREQUENT)).astype("i8")[back]
+        shared, done = holders > 1, (kind == READY)[of]
+        packed = np.concatenate([plain[shared] | holders[shared] << np.int64(TOKEN_BITS), values[done]])
+        owner = np.concatenate([owner[shared], of[done]])
+        group = node[owner] % groups
+        by = np.lexsort((packed, node[owner], group))
+        packed, owner, group = packed[by], owner[by], group[by]
+        fresh = np.ones(len(packed), bool)
+        fresh[1:] = (packed[1:] != packed[:-1]) | (node[owner[1:]] != node[owner[:-1]])
+        packed, owner, group = packed[fresh], owner[fresh], group[fresh]
+        return pa.Table.from_batches([_packed(PLAIN, group, node[owner], n[owner], packed)])
+
+    return run
+
+
+def assembled(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one group of nodes: node, n, own and tokens, rarest first, of the sets that may have a partner."""
+    def run(table: pa.Table) -> pa.Table:
+        _, node, n, size, tokens = _unpacked(table)
+        of = np.repeat(np.arange(len(node)), size)
+        by = np.lexsort((tokens, node[of]))
+        tokens, of = tokens[by], of[by]
+        fresh = np.ones(len(tokens), bool)
+        fresh[1:] = (tokens[1:] != tokens[:-1]) | (node[of[1:]] != node[of[:-1]])
+        tokens, of = tokens[fresh], of[fresh]
+        at = _runs(node[of]) if len(of) else np.zeros(0, "i8")
+        ends = np.append(at, len(of))
+        total, shared = n[of[at]].astype("i8"), np.diff(ends)
+        may = total - -(-total * percent // 100) + 1 - (total - shared) > 0
+        keep = np.repeat(may, shared)
+        cuts = np.append(0, np.cumsum(shared[may]))
+        return pa.table({"node": pa.array(node[of[at]][may], pa.int64()), "n": pa.array(total[may], pa.int32()), "own": pa.array((total - shared)[may], pa.int32()),
+                         "tokens": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(tokens[keep], pa.int64()))})
+
+    return run
 
 
 def prefix(n: Column, percent: int) -> Column:
@@ -164,13 +187,12 @@ def prefix(n: Column, percent: int) -> Column:
 
 def shared_sets(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
     """node, n, own (tokens of that set only), tokens (the others, rarest first) and the prefixes under three orders, of sets that may have a partner."""
-    parts = deal(docs, size, buckets).groupBy("bucket").applyInArrow(counted, "node long, n int, tokens array<long>")
-    whole = parts.groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens"))
+    parts = deal(docs, size, buckets).groupBy("key").applyInArrow(counted(buckets), PACKED_SQL)
+    whole = parts.groupBy("key").applyInArrow(assembled(percent), "node long, n int, own int, tokens array<long>")
     need = (prefix(F.col("n"), percent) - F.col("own")).cast("int")
     hashed = lambda k: F.transform(F.slice(F.array_sort(F.transform("tokens", lambda t: F.struct(F.xxhash64(t, F.lit(k)).alias("h"), t.alias("t")))),
                                            F.lit(1), need), lambda x: x["t"])
-    return whole.withColumn("own", F.col("n") - F.size("tokens")).where(need > 0).select(
-        "node", "n", "own", "tokens", F.slice("tokens", F.lit(1), need).alias("first"), hashed(1).alias("second"), hashed(2).alias("third"))
+    return whole.select("node", "n", "own", "tokens", F.slice("tokens", F.lit(1), need).alias("first"), hashed(1).alias("second"), hashed(2).alias("third"))
 
 
 def alike(shared: Column, total: Column, percent: int) -> Column:
