@@ -227,10 +227,7 @@ def moving_average(daily: DataFrame, value: str, days: int, keys: Sequence[str]
 
 def rankings(characters: DataFrame, value: str, scopes: dict[str, Sequence[str]]) -> DataFrame:
     """Rank and percentile of every row in each scope, exact and without a global sort task."""
-    out = characters
-    for name, keys in scopes.items():
-        out = distribution.with_rank(out, list(keys), value, f"{name}_rank", f"{name}_percentile")
-    return out
+    return distribution.with_ranks(characters, scopes, value)
 
 
 def top_average(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraylens.operators.ordered import join_keys
+from fraylens.session import stored
 
 PER_OCTAVE = 1024
 
@@ -104,3 +105,42 @@ def with_rank(
     placed = positions(df, groups, value).select(*groups, F.col(value).alias("__v"), *cols)
     keyed = df.withColumn("__v", F.col(value).cast("double"))
     return join_keys(keyed, placed, [*groups, "__v"], "left").drop("__v")
+
+
+def ranked_values(df: DataFrame, scopes: dict[str, Sequence[str]], value: str) -> DataFrame:
+    """scope, group, value with ``n`` copies, ``below`` smaller rows and ``total`` rows of the group, for all scopes from one reading of ``df``.
+
+    Rows are unpivoted to (scope, group, value) and equal ones counted at once. Counts are sorted by range over all three, so borders come from the data
+    and a group of any size lies in as many neighbouring ranges as it needs; sums inside a range and the sums of the ranges before it give positions.
+    """
+    entries = F.array(*(F.struct(F.lit(name).alias("scope"), group_key(keys).alias("group")) for name, keys in scopes.items()))
+    rows = df.where(F.col(value).isNotNull()).select(F.explode(entries).alias("e"), F.col(value).cast("double").alias("value"))
+    counts = rows.groupBy("e.scope", "e.group", "value").agg(F.count("*").alias("n"))
+    order = ["scope", "group", "value"]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(counts.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "ranked-values")
+    sums = ranged.groupBy("scope", "group", "range").agg(F.sum("n").alias("rows"))
+    one = Window.partitionBy("scope", "group")
+    earlier = one.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("scope", "group", "range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("under"), F.sum("rows").over(one).alias("total"))
+    within = Window.partitionBy("scope", "group", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    return inside.join(sums, ["scope", "group", "range"]).select(*order, "n", (F.col("under") + F.col("inside")).alias("below"), "total")
+
+
+def group_key(keys: Sequence[str]) -> Column:
+    """One text for a group of any number and types of columns; a null key differs from every other."""
+    return F.to_json(F.struct(*(F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)))) if keys else F.lit("")
+
+
+def with_ranks(df: DataFrame, scopes: dict[str, Sequence[str]], value: str) -> DataFrame:
+    """Add ``<scope>_rank`` (1 = greatest, ties share) and ``<scope>_percentile`` (0 to 100) for every scope; ``df`` is read twice however many there are."""
+    placed = stored(ranked_values(df, scopes, value), "ranks")
+    above = F.col("total") - F.col("below") - F.col("n")
+    share = F.when(F.col("total") > 1, F.col("below") * 100.0 / (F.col("total") - 1)).otherwise(100.0)
+    out = df.withColumn("__v", F.col(value).cast("double"))
+    for name, keys in scopes.items():
+        own = placed.where(F.col("scope") == name).select(F.col("group").alias("__group"), F.col("value").alias("__value"), (above + 1).alias(f"{name}_rank"),
+                                                          share.alias(f"{name}_percentile"))
+        out = out.join(own, (group_key(keys) == F.col("__group")) & (F.col("__v") == F.col("__value")), "left").drop("__group", "__value")
+    return out.drop("__v")

@@ -242,53 +242,62 @@ def player_totals(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # --- deaths --------------------------------------------------------------------------------------
 
-def death_causes(recap: DataFrame) -> DataFrame:
+# ``keys`` of a recap name its guild and encounter; without them all deaths of a table are taken together.
+
+def death_causes(recap: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Damage per death and cause, one row per pair."""
-    return (recap.filter(F.col("kind") == "damage").groupBy("guid", "death_id", "death_ts", "cause")
+    return (recap.filter(F.col("kind") == "damage").groupBy(*keys, "guid", "death_id", "death_ts", "cause")
             .agg(F.sum("value").alias("damage")))
 
 
-def top_killers(recap: DataFrame, n: int = 10) -> DataFrame:
-    c = death_causes(recap).groupBy("cause").agg(F.count("*").alias("deaths"), F.sum("damage").alias("damage"))
-    return c.orderBy(F.desc("deaths"), F.desc("damage"), "cause").limit(n)
+def top_killers(recap: DataFrame, n: int = 10, keys: Sequence[str] = ()) -> DataFrame:
+    """The ``n`` causes with the most deaths, in each guild and encounter if ``keys`` are given."""
+    c = death_causes(recap, keys).groupBy(*keys, "cause").agg(F.count("*").alias("deaths"), F.sum("damage").alias("damage"))
+    best = [F.desc("deaths"), F.desc("damage"), F.asc("cause")]
+    return top_per_group(c, list(keys), best, n) if keys else c.orderBy(*best).limit(n)
 
 
-def death_spikes(recap: DataFrame) -> DataFrame:
+def death_spikes(recap: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Largest damage within one clock second before each death, healing coverage and a label."""
-    second = recap.filter(F.col("kind") == "damage").groupBy(
-        "guid", "death_id", F.floor(F.unix_micros("ts") / 1000000).alias("__s")).agg(F.sum("value").alias("__v"))
-    spike = second.groupBy("guid", "death_id").agg(F.max("__v").alias("damage_spike"))
-    sums = recap.groupBy("guid", "death_id").agg(
+    death = [*keys, "guid", "death_id"]
+    second = recap.filter(F.col("kind") == "damage").groupBy(*death, F.floor(F.unix_micros("ts") / 1000000).alias("__s")).agg(F.sum("value").alias("__v"))
+    spike = second.groupBy(*death).agg(F.max("__v").alias("damage_spike"))
+    sums = recap.groupBy(*death).agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "damage", F.col("value"))), F.lit(0)).alias("damage"),
         F.coalesce(F.sum(F.when(F.col("kind") == "healing", F.col("value"))), F.lit(0)).alias("healing"))
     coverage = F.col("healing") * 100.0 / F.col("damage")
-    return (sums.join(spike, ["guid", "death_id"], "left").filter("damage > 0")
+    return (sums.join(spike, death, "left").filter("damage > 0")
             .withColumn("healing_coverage", coverage)
             .withColumn("preventable", F.when(coverage < 50, "Low healing coverage")
                         .when(F.col("damage_spike") > 100000, "One-shot mechanic").otherwise("Sustained damage")))
 
 
-def wipe_mechanics(recap: DataFrame, raid_size: Column, bucket_seconds: int = 5, share: float = 0.5) -> DataFrame:
-    """Time buckets in which at least ``share`` of the raid died, with the most common source."""
-    bucket = F.floor(F.unix_micros("death_ts") / F.lit(bucket_seconds * 1e6)).alias("bucket")
-    causes = death_causes(recap).withColumn("bucket", bucket)
-    deaths = recap.select("death_id", bucket).distinct().groupBy("bucket").agg(F.count("*").alias("deaths"))
-    common = (causes.groupBy("bucket", "cause").agg(F.count("*").alias("killed"))
-              .groupBy("bucket").agg(F.max(F.struct("killed", F.col("cause"))).alias("m")))
-    return deaths.filter(F.col("deaths") >= raid_size * share).join(common, "bucket").select(
-        "bucket", "deaths", F.col("m.cause").alias("cause"), F.col("m.killed").alias("killed"))
+def wipe_mechanics(recap: DataFrame, raids: DataFrame, keys: Sequence[str], seconds: float = 5, share: float = 0.5) -> DataFrame:
+    """Slices of an encounter, counted from its start, in which at least ``share`` of its players died, with the cause that took part in most deaths.
+
+    ``raids`` has keys, start_ts and players. A player who dies twice in a slice is one dead player.
+    """
+    since = F.unix_micros("death_ts") - F.unix_micros("start_ts")
+    placed = recap.join(raids, list(keys)).withColumn("bucket", F.floor(since / F.lit(seconds * 1e6)))
+    slice_ = [*keys, "bucket"]
+    dead = placed.groupBy(*slice_).agg(F.count_distinct("guid").alias("dead"), F.max("players").alias("players"))
+    common = (death_causes(placed, slice_).groupBy(*slice_, "cause").agg(F.count_distinct("guid").alias("killed"))
+              .groupBy(*slice_).agg(F.max(F.struct("killed", "cause")).alias("m")))
+    return dead.filter(F.col("dead") >= F.col("players") * share).join(common, slice_).select(
+        *slice_, "dead", "players", F.col("m.cause").alias("cause"), F.col("m.killed").alias("killed"))
 
 
-def survival_issues(recap: DataFrame) -> DataFrame:
+def survival_issues(recap: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per character: damage and healing before its deaths, averages, deficit and the worst cause."""
-    totals = recap.groupBy("guid").agg(
+    who = [*keys, "guid"]
+    totals = recap.groupBy(*who).agg(
         F.count_distinct("death_id").alias("deaths"),
         F.coalesce(F.sum(F.when(F.col("kind") == "damage", F.col("value"))), F.lit(0)).alias("damage"),
         F.coalesce(F.sum(F.when(F.col("kind") == "healing", F.col("value"))), F.lit(0)).alias("healing"))
-    worst = (recap.filter(F.col("kind") == "damage").groupBy("guid", "cause").agg(F.sum("value").alias("v"))
-             .groupBy("guid").agg(F.max(F.struct("v", "cause")).alias("w")))
-    return totals.join(worst, "guid", "left").select(
-        "guid", "deaths", "damage", "healing", (F.col("damage") / F.col("deaths")).alias("avg_damage"),
+    worst = (recap.filter(F.col("kind") == "damage").groupBy(*who, "cause").agg(F.sum("value").alias("v"))
+             .groupBy(*who).agg(F.max(F.struct("v", "cause")).alias("w")))
+    return totals.join(worst, who, "left").select(
+        *who, "deaths", "damage", "healing", (F.col("damage") / F.col("deaths")).alias("avg_damage"),
         (F.col("healing") / F.col("deaths")).alias("avg_healing"),
         ((F.col("damage") - F.col("healing")) / F.col("deaths")).alias("deficit"), F.col("w.cause").alias("top_cause"))
 

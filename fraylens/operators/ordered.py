@@ -4,7 +4,7 @@ A plain ``Window.partitionBy(key)`` puts a key into one task. Here every key is
 into buckets that follow its sort order (an hour of events, a block of a log file);
 the window runs per (key, bucket), one summary row per (key, bucket) carries the state
 across bucket borders, and the summary is joined back on (key, bucket), which is the
-partitioning the window already has. The bulk of the rows is shuffled once, no group
+partitioning the window already has. The input is read and shuffled once, no group
 is larger than one bucket, and the result equals the plain window.
 
 Keys must not be null. ``bucket`` must never decrease along ``order``.
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 BUCKET = "__bucket"
 
@@ -68,6 +69,10 @@ def _first_or_last(value: Column, order: Column, last: bool) -> Column:
     return pick(value, F.when(value.isNotNull(), order))
 
 
+def _has_map(kind: DataType) -> bool:
+    return "map<" in kind.simpleString()
+
+
 def carry(
     df: DataFrame,
     keys: Sequence[str],
@@ -75,11 +80,18 @@ def carry(
     bucket: Column | str,
     **specs: Spec,
 ) -> DataFrame:
-    """Add one order-dependent column per keyword argument."""
+    """Add one order-dependent column per keyword argument.
+
+    Rows and summaries share one exchange by (key, bucket), so the input is read, and whatever made it is computed, once.
+    """
+    # two hashes that are never null: a join on the keys themselves would filter null keys on one side only, and the exchange couldn't be shared
+    group = ["__g", "__h"]
     df = df.withColumn(BUCKET, bucket if isinstance(bucket, Column) else F.col(bucket))
-    group = [*keys, BUCKET]
-    along = Window.partitionBy(*group).orderBy(*order)
-    against = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order])
+    whole = F.struct(*keys, BUCKET)
+    columns = [f.name for f in df.schema if not _has_map(f.dataType)]
+    df = df.withColumns({"__g": F.xxhash64(whole), "__h": F.xxhash64(F.lit(1), whole)}).repartition(*group)
+    along = Window.partitionBy(*group, BUCKET).orderBy(*order)
+    against = Window.partitionBy(*group, BUCKET).orderBy(*[F.desc(c) for c in order])
     key_along = Window.partitionBy(*keys).orderBy(BUCKET)
     key_against = Window.partitionBy(*keys).orderBy(F.desc(BUCKET))
     past = (Window.unboundedPreceding, -1)
@@ -112,10 +124,15 @@ def carry(
             .over((key_against if backwards else key_along).rowsBetween(*past)).alias(prior))
         merged[name] = F.coalesce(F.col(here), F.col(prior))
 
-    carried = df.groupBy(*group).agg(*summary).select(*group, *state)
+    # both uses must ask for the same columns, or each gets an exchange of its own: the summaries sum up a hash of all of them, and
+    # the new columns depend on a comparison with it that always holds
+    digest = F.xxhash64(*columns)
+    everything, always = F.bit_xor(digest).alias("__every"), digest >= F.lit(-(1 << 63))
+    totals = df.groupBy(*group).agg(*[F.first(c).alias(c) for c in [*keys, BUCKET]], *summary, everything).where(F.col("__every").isNotNull())
+    carried = totals.select(*group, *state)
     out = df.select("*", *local).join(carried, group, "left")
     keep = [c for c in df.columns if c != BUCKET]
-    return out.select(*keep, *[column.alias(name) for name, column in merged.items()])
+    return out.select(*keep, *[F.when(always, column).alias(name) for name, column in merged.items()])
 
 
 def islands(

@@ -10,7 +10,7 @@ from fraylens.operators import metrics as M
 from fraylens.operators import sequence as S
 from fraylens.plans.catalog import Tables, query
 from fraylens.plans.rows import ENC, encounters, numbers, timeline_columns, CATEGORY_SQL, IMPORTANCE_SQL, DESCRIBE_SQL, description
-from fraylens.plans.sequences import COMBAT_SQL, RECAP, role_rows, user_recap
+from fraylens.plans.sequences import COMBAT_SQL, RECAP, ROLES, role_rows, user_recap
 from fraylens.plans.standins import combat_events, us
 
 KEY = ["encounter_key"]
@@ -330,12 +330,55 @@ def _(t: Tables):
     return last.select("guid", "death_id", us("death_ts").alias("death_us"), "killing_blow")
 
 
-@query("a40_wipe_mechanics", f"""WITH {{EV}}, {RECAP}, dd AS (SELECT death_id, CAST(floor(epoch_us(death_ts) / 86400000000) AS BIGINT) AS bucket, cause FROM recap WHERE kind = 'damage' GROUP BY 1, 2, 3),
-n AS (SELECT bucket, count(DISTINCT death_id) AS deaths FROM (SELECT death_id, CAST(floor(epoch_us(death_ts) / 86400000000) AS BIGINT) AS bucket FROM recap) GROUP BY 1 HAVING count(DISTINCT death_id) >= 0.1 * 150),
-k AS (SELECT bucket, cause, count(*) AS killed FROM dd GROUP BY 1, 2), m AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY killed DESC, cause DESC) AS rn FROM k)
-SELECT n.bucket, deaths, cause, killed FROM n JOIN m ON m.bucket = n.bucket AND rn = 1""")
+BY_ENCOUNTER = ["guild_id", "encounter_key"]
+# recaps inside one guild's encounter; ``sp`` has its players and start
+ENC_RECAP = """rg AS (SELECT r.*, ev.guild_id FROM rl r JOIN ev USING (line_no)),
+dg AS (SELECT guild_id, encounter_key, guid, line_no AS death_id, ts AS death_ts FROM rg WHERE category = 'death'),
+pg AS (SELECT d.*, r.line_no, r.ts, CASE category WHEN 'damage_taken' THEN 'damage' ELSE 'healing' END AS kind, source_name || ': ' || spell_name AS cause,
+   CASE category WHEN 'damage_taken' THEN amount ELSE greatest(0, amount - overhealing) END AS value,
+   row_number() OVER (PARTITION BY d.guild_id, d.encounter_key, d.guid, death_id, category ORDER BY r.ts DESC, r.line_no DESC) AS rn
+ FROM dg d JOIN rg r ON r.guild_id = d.guild_id AND r.encounter_key = d.encounter_key AND r.guid = d.guid AND (r.ts, r.line_no) < (d.death_ts, d.death_id) AND category IN ('damage_taken', 'healing_received')),
+er AS (SELECT * FROM pg WHERE rn <= 10), sp AS (SELECT guild_id, encounter_key, count(DISTINCT guid) AS players, min(ts) AS start_ts FROM rg GROUP BY 1, 2)"""
+
+
+def encounter_recap(t: Tables):
+    return S.death_recap(role_rows(t), [*BY_ENCOUNTER, "guid"], 10)
+
+
+@query("a39_top_causes_by_encounter", f"""WITH {{EV}}, {ROLES}, {ENC_RECAP}, c AS (SELECT guild_id, encounter_key, guid, death_id, cause, sum(value) AS damage FROM er WHERE kind = 'damage' GROUP BY ALL),
+g AS (SELECT guild_id, encounter_key, cause, count(*) AS deaths, CAST(sum(damage) AS BIGINT) AS damage FROM c GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY guild_id, encounter_key ORDER BY deaths DESC, damage DESC, cause) AS rank FROM g QUALIFY rank <= 3""")
+def _(t: Tables):
+    return M.top_killers(encounter_recap(t), 3, BY_ENCOUNTER).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("a40_wipe_mechanics", f"""WITH {{EV}}, {ROLES}, {ENC_RECAP}, x AS (SELECT er.*, players, CAST(floor((epoch_us(death_ts) - epoch_us(start_ts)) / 21600000000) AS BIGINT) AS bucket FROM er JOIN sp USING (guild_id, encounter_key)),
+n AS (SELECT guild_id, encounter_key, bucket, count(DISTINCT guid) AS dead, max(players) AS players FROM x GROUP BY ALL),
+k AS (SELECT guild_id, encounter_key, bucket, cause, count(DISTINCT guid) AS killed FROM x WHERE kind = 'damage' GROUP BY ALL),
+m AS (SELECT *, row_number() OVER (PARTITION BY guild_id, encounter_key, bucket ORDER BY killed DESC, cause DESC) AS rn FROM k)
+SELECT guild_id, encounter_key, bucket, dead, players, cause, killed FROM n JOIN m USING (guild_id, encounter_key, bucket) WHERE rn = 1 AND dead >= 0.03 * players""")
+def _(t: Tables):
+    raids = role_rows(t).groupBy(*BY_ENCOUNTER).agg(F.count_distinct("guid").alias("players"), F.min("ts").alias("start_ts"))
+    return M.wipe_mechanics(encounter_recap(t), raids, BY_ENCOUNTER, 21600, 0.03)
+
+
+@query("a41_survival_by_encounter", f"""WITH {{EV}}, {ROLES}, {ENC_RECAP},
+s AS (SELECT guild_id, encounter_key, guid, count(DISTINCT death_id) AS deaths, CAST(coalesce(sum(value) FILTER (kind = 'damage'), 0) AS BIGINT) AS damage,
+  CAST(coalesce(sum(value) FILTER (kind = 'healing'), 0) AS BIGINT) AS healing FROM er GROUP BY ALL),
+w AS (SELECT guild_id, encounter_key, guid, cause, row_number() OVER (PARTITION BY guild_id, encounter_key, guid ORDER BY sum(value) DESC, cause DESC) AS rn FROM er WHERE kind = 'damage' GROUP BY 1, 2, 3, 4)
+SELECT s.guild_id, s.encounter_key, s.guid, deaths, damage, healing, cause AS top_cause FROM s LEFT JOIN w ON w.guild_id = s.guild_id AND w.encounter_key = s.encounter_key AND w.guid = s.guid AND rn = 1""")
+def _(t: Tables):
+    return M.survival_issues(encounter_recap(t), BY_ENCOUNTER).drop("avg_damage", "avg_healing", "deficit")
+
+
+@query("w15_damage_spike_by_encounter", f"""WITH {{EV}}, {ROLES}, {ENC_RECAP},
+sec AS (SELECT guild_id, encounter_key, guid, death_id, epoch_us(ts) // 1000000 AS s, sum(value) AS v FROM er WHERE kind = 'damage' GROUP BY ALL),
+mx AS (SELECT guild_id, encounter_key, guid, death_id, CAST(max(v) AS BIGINT) AS damage_spike FROM sec GROUP BY ALL),
+su AS (SELECT guild_id, encounter_key, guid, death_id, CAST(coalesce(sum(value) FILTER (kind = 'damage'), 0) AS BIGINT) AS damage, CAST(coalesce(sum(value) FILTER (kind = 'healing'), 0) AS BIGINT) AS healing FROM er GROUP BY ALL)
+SELECT su.*, damage_spike, CASE WHEN healing * 100.0 / damage < 50 THEN 'Low healing coverage' WHEN damage_spike > 100000 THEN 'One-shot mechanic' ELSE 'Sustained damage' END AS preventable
+FROM su JOIN mx USING (guild_id, encounter_key, guid, death_id) WHERE damage > 0""")
 def _(t: Tables):
-    return M.wipe_mechanics(user_recap(t), F.lit(150), 86400, 0.1)
+    return M.death_spikes(encounter_recap(t), BY_ENCOUNTER).drop("healing_coverage")
 
 
 @query("a41_survival_issues", f"""WITH {{EV}}, {RECAP},

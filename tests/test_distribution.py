@@ -45,3 +45,22 @@ def test_null_group_is_kept(spark):
     assert (got[None].v_avg, got[None].v_p50, got["a"].v_p50) == (2.0, 2.0, 5.0)
     ranks = sorted((r.v, r["rank"]) for r in distribution.with_rank(df, ["g"], "v", "rank").collect())
     assert ranks == [(1.0, 2), (3.0, 1), (5.0, 1)]
+
+
+def test_ranks_of_all_scopes(spark):
+    """Ties, a hot group, null groups and values, microsecond stamps; the input is read twice, not once per scope."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["a"] * 6 + ["b", None]), rng.choice([1, 2, None]), rng.choice([None, 1.7e15 + rng.randrange(300), 0.25])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, g string, h int, v double").repartition(3)
+    scopes = {"all": [], "g": ["g"], "gh": ["g", "h"]}
+    got = {r.id: r for r in distribution.with_ranks(df, scopes, "v").collect()}
+    assert len(got) == 600
+    for i, g, h, v in rows:
+        for name, same in (("all", rows), ("g", [r for r in rows if r[1] == g]), ("gh", [r for r in rows if r[1:3] == (g, h)])):
+            values = [r[3] for r in same if r[3] is not None]
+            rank, percentile = got[i][f"{name}_rank"], got[i][f"{name}_percentile"]
+            if v is None:
+                assert rank is None and percentile is None
+            else:
+                assert rank == 1 + sum(x > v for x in values)
+                assert percentile == pytest.approx(100.0 * sum(x < v for x in values) / (len(values) - 1) if len(values) > 1 else 100.0)

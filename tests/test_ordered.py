@@ -94,3 +94,16 @@ def test_halo_window(spark):
     got = {r.i: r.n for r in O.halo_window(df, ["k"], "ts", 10.0, 15.0, n=F.count(F.lit(1))).collect()}
     want = {r[2]: sum(1 for x in data if x[0] == r[0] and 0 <= (x[1] - r[1]).total_seconds() <= 10) for r in data}
     assert got == want
+
+
+@pytest.mark.parametrize("name,most", [("j02_assign_encounter", 2), ("w08_unified_fights", 2)])
+def test_carry_reads_its_input_once(spark, name, most):
+    """Scans in the plan that ran: rows and summaries share an exchange, however often carries are nested."""
+    from fraylens.plans import load_all
+    from fraylens.plans.catalog import QUERIES
+
+    load_all()
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert ran.count("FileScan") <= most
