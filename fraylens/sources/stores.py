@@ -27,6 +27,45 @@ def write_events(df: DataFrame, path: str, mode: str = "append") -> None:
      .write.mode(mode).partitionBy("guild_id", "event_date").parquet(path))
 
 
+def ingest_events(df: DataFrame, path: str, upload: str = "upload") -> None:
+    """Writes uploads (``upload``: the digest of a file) so that doing it again, wholly or after a failure, changes nothing.
+
+    An upload's rows lie in folders of their own, which a repeated write replaces; its entry in the commit log follows the rows. Uploads that the log has
+    are left out, those that broke off have no entry, are not read, and are written anew. Two writers of the same upload write the same rows.
+    """
+    spark = df.sparkSession
+    known = committed(spark, path)
+    if known is not None:
+        df = df.join(known.select(F.col("upload").alias(upload)), upload, "left_anti")
+    guild = F.when(F.col("guild_id") > 0, F.col("guild_id")).otherwise(1)
+    d = df.withColumns({"guild_id": guild, "event_date": F.to_date("ts"), "upload": F.col(upload).cast("string")})
+    if upload != "upload":
+        d = d.drop(upload)
+    parts = ["guild_id", "event_date", "upload"]
+    (d.hint("rebalance", *(F.col(c) for c in parts)).sortWithinPartitions(*parts, "ts")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{path}/events"))
+    written = spark.read.schema(d.schema).option("basePath", f"{path}/events").parquet(f"{path}/events")
+    log = written.join(d.select("upload").distinct(), "upload", "left_semi").groupBy("upload").agg(F.count("*").alias("events"), F.max("ts").alias("last_ts"))
+    log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload").parquet(f"{path}/commits")
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame | None:
+    """upload, events, last_ts of every finished upload; nothing before the first."""
+    context = spark.sparkContext
+    log = context._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+    if not log.getFileSystem(context._jsc.hadoopConfiguration()).exists(log):
+        return None
+    return spark.read.schema("events long, last_ts timestamp, upload string").parquet(f"{path}/commits")
+
+
+def read_uploads(spark: SparkSession, path: str, schema: str, guild_id: int | None = None) -> DataFrame:
+    """Rows of finished uploads. ``schema``: of the events without their folders' columns."""
+    d = spark.read.schema(f"{schema}, guild_id long, event_date date, upload string").option("basePath", f"{path}/events").parquet(f"{path}/events")
+    done = committed(spark, path)
+    d = d.join(done.select("upload"), "upload", "left_semi") if done is not None else d.limit(0)
+    return filters.for_guild(d, guild_id) if guild_id is not None else d
+
+
 def read_events(spark: SparkSession, path: str, guild_id: int | None = None) -> DataFrame:
     d = spark.read.parquet(path)
     return filters.for_guild(d, guild_id) if guild_id is not None else d
@@ -53,10 +92,20 @@ def read_table(
 
 # --- merges ---------------------------------------------------------------------------------------
 
+def upsert_sightings(old: DataFrame, new: DataFrame, key: str, upload: str = "upload") -> DataFrame:
+    """Sightings per character and upload; an upload that comes again replaces its own rows, so counts never add up twice."""
+    replaced = new.select(upload).distinct()
+    return old.join(replaced, upload, "left_anti").unionByName(new)
+
+
 def upsert_characters(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Merge sightings: earliest first_seen, latest last_seen, summed counts, newest name."""
-    both = old.unionByName(new)
-    return both.groupBy(key).agg(
+    """Merge sightings: earliest first_seen, latest last_seen, summed counts, newest name. Each sighting must come once (``upsert_sightings``)."""
+    return characters_seen(old.unionByName(new), key)
+
+
+def characters_seen(sightings: DataFrame, key: str) -> DataFrame:
+    """One row per character from its sightings."""
+    return sightings.groupBy(key).agg(
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
         F.sum("encounter_count").alias("encounter_count"), F.max_by("name", F.struct("last_seen", "name")).alias("name"))
 

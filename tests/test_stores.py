@@ -4,6 +4,7 @@ from fraylens.operators.filters import time_range
 from fraylens.sources import export, stores
 
 import pytest
+from pyspark.sql import functions as F
 
 
 def test_parts_keep_every_child(spark):
@@ -57,3 +58,29 @@ def test_newest_saved_search_counts(spark, tmp_path):
     stores.save_search(spark, path, "s", {"field": "id", "operator": "lt", "value": 9})
     stores.save_search(spark, path, "s", {"field": "id", "operator": "lt", "value": 2})
     assert stores.run_saved(spark, path, "s", spark.range(20)).count() == 2
+
+
+def test_ingest_may_be_repeated_and_may_break_off(spark, tmp_path):
+    """An upload counts once however often it is written; one that broke off isn't read and is replaced later."""
+    path, schema = str(tmp_path / "store"), "line_no long, ts timestamp"
+    make = lambda upload, n: spark.createDataFrame([(1 + i % 2, i, "2024-01-01 10:00:00", upload) for i in range(n)], "guild_id long, line_no long, t string, upload string").selectExpr(
+        "guild_id", "line_no", "cast(t as timestamp) ts", "upload")
+    stores.ingest_events(make("a", 10), path)
+    stores.ingest_events(make("a", 10).unionByName(make("b", 6)), path)
+    stores.ingest_events(make("b", 6), path)
+    assert stores.read_uploads(spark, path, schema).count() == 16 and stores.read_uploads(spark, path, schema, 2).count() == 8
+    assert {(r.upload, r.events) for r in stores.committed(spark, path).collect()} == {("a", 10), ("b", 6)}
+    # rows without an entry in the log: the job ended between the two
+    half = make("c", 4).withColumn("event_date", F.to_date("ts"))
+    half.write.mode("append").partitionBy("guild_id", "event_date", "upload").parquet(f"{path}/events")
+    assert stores.read_uploads(spark, path, schema).count() == 16
+    stores.ingest_events(make("c", 7), path)
+    assert stores.read_uploads(spark, path, schema).count() == 23
+
+
+def test_sightings_replace_their_upload(spark):
+    make = lambda rows: spark.createDataFrame(rows, "guid string, upload string, first_seen int, last_seen int, encounter_count long, name string")
+    old = make([("p", "u1", 1, 2, 3, "A"), ("q", "u1", 1, 1, 1, "Q"), ("p", "u2", 5, 6, 2, "B")])
+    table = stores.upsert_sightings(old, make([("p", "u1", 1, 2, 3, "A"), ("p", "u3", 7, 7, 1, "C")]), "guid")
+    got = {r.guid: (r.first_seen, r.last_seen, r.encounter_count, r.name) for r in stores.characters_seen(table, "guid").collect()}
+    assert got == {"p": (1, 7, 6, "C")}
