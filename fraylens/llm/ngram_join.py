@@ -29,11 +29,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fraylens.llm.shared import discard, extended, partitions, stored, text_of
+from fraylens.llm.shared import discard, extended, partitions, release, stored, text_of
 from fraylens.llm.simhash import components, shingle_hashes
 
 SHINGLE, PERCENT = 3, 90
-FREQUENT, HELD, BUCKET = 64, 1_500_000, 4_000_000
+FREQUENT, HELD, BUCKET = 64, 1_000_000, 1_000_000
 TOKEN_BITS = 56
 
 
@@ -112,6 +112,7 @@ def _dealt(sets: list[np.ndarray], nodes: list[int], buckets: int) -> Iterator[p
 def deal(docs: DataFrame, size: int, buckets: int) -> DataFrame:
     """All tokens by bucket; each distinct set once per task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[int] = set()
         sets, nodes, held = [], [], 0
         for batch in batches:

@@ -50,11 +50,12 @@ def worker_cache(fn: Callable) -> Callable:
     return cached
 
 
-def release(but: str) -> None:
-    """Empties this worker's caches except one."""
+def release(but: str = "") -> None:
+    """Empties this worker's caches except one and gives their memory back."""
     for name, clear in CACHES.items():
         if name != but:
             clear()
+    pa.default_memory_pool().release_unused()
 
 
 def extended(docs: DataFrame, keep: tuple[str, ...], fields: str, make: Callable[[], Callable[[list[str]], dict]], cache: str = "") -> DataFrame:
@@ -128,3 +129,15 @@ def shared_path(path: str) -> str:
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows with the smallest hashes of ``key``: repeatable and the same for any partitioning."""
     return df.orderBy(F.xxhash64(key), key).limit(rows)
+
+
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows, drawn by a hash of ``key``: repeatable, the same for any partitioning, and a task sends on its share of them only.
+
+    A count first gives the share of hashes that holds about ``rows`` rows; if rows that share a key make it more, the smallest hashes stay.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    bound = int(rows / total * (1 << 64)) - (1 << 63)
+    return df.where(F.xxhash64(F.lit(7), key) < F.lit(bound)).orderBy(F.xxhash64(F.lit(7), key), key).limit(rows)

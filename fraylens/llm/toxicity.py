@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraylens.llm.boosting import Boosted, fit_calibrated
-from fraylens.llm.shared import bounded_sample, extended, stored, text_of
+from fraylens.llm.shared import bounded_sample, extended, release, stored, text_of
 
 #: Labelled rows used for fitting at most, folds, and entries of a lexicon at most.
 SAMPLE, FOLDS, ENTRIES = 20_000, 4, 4000
@@ -112,6 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         "fold", F.pmod(F.xxhash64(F.substring("text", 1, 40)), F.lit(FOLDS)).cast("int")), "toxic-sample")
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for b in batches:
             out = []
             for text, toxic, fold in zip(b["text"], b["toxic"], b["fold"]):
@@ -131,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     lexicons = {k: _entries(counts, toxic - per_fold[0][k], clean - per_fold[1][k], k) for k in range(FOLDS)}
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         own = {k: Lexicon(*v) for k, v in lexicons.items()}
         for b in batches:
             yield pd.DataFrame({"key": b["key"], "toxic": b["toxic"], "fold": b["fold"], "x": [describe(t, own[f]) for t, f in zip(b["text"], b["fold"])]})

@@ -111,6 +111,9 @@ def test_url_filter(spark):
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule and rule[0]), r["url"]
         assert r["verdict"] == (rule[1] if rule else r["verdict"]) and r["verdict"] in ("allow", "block")
     assert url_filter.judge(df.limit(0)).count() == 0
+    # no rule knows org: the model blocks what it has seen blocked elsewhere and allows the rest
+    org = {(r["path"].split("/")[1], r["verdict"]) for r in got if r["host"].endswith(".org") and r["host"].startswith("s")}
+    assert org == {("en", "block"), ("es", "allow"), ("fr", "allow")}
     assert {r["verdict"] for r in url_filter.judge(df.where("page_id < 5")).collect()} == {"allow"}  # nothing is labelled
 
 
@@ -145,6 +148,43 @@ def test_pii(spark, odd):
     assert {r["doc_id"]: r["clean"] for r in found}[1].startswith("😀 mail é[EMAIL], card [CARD] or")
 
 
+def test_pii_adds_what_base_patterns_miss(spark):
+    """Learned from base spans alone: other ways to write a number or an address are added, order numbers and versions aren't."""
+    rng = random.Random(14)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        digits = "4" + number(14)
+        return digits + next(c for c in "0123456789" if brute_spans(digits + c))
+
+    texts = []
+    for i in range(300):
+        filler = " ".join(rng.choice(["moss", "stone", "river", "old", "wall", "here"]) for _ in range(8))
+        texts.append(f"{filler} joe{i}.{number(2)}@mail{i % 9}.example.com {filler} +1 ({number(3)}) 555-{number(4)} {filler} "
+                     f"{rng.randrange(1, 255)}.{rng.randrange(255)}.{rng.randrange(255)}.{rng.randrange(255)} {filler} {card()} {filler} order {number(16)} of {filler}")
+    own = card()
+    asked = {1000: "please call (017) 555-7713 today", 1001: "write to joe @ site.org today", 1002: "order 2039102399 was sent", 1003: "version 10.15.7 and 512.4.1.9.3 of it",
+             1004: "at user@host in the log", 1005: f"paid with {own[:4]}.{own[4:8]}.{own[8:12]}.{own[12:]} here", 1006: "paid with 4111.1111.1111.1112 here", 1007: "in 1999 and 2024"}
+    docs = spark.createDataFrame(list(enumerate(texts)) + list(asked.items()), "doc_id long, text string")
+    model = pii.fit(docs)
+    found = {r["doc_id"]: r["spans"] for r in pii.detect(docs, model).select("doc_id", pii.written(F.col("spans")).alias("spans")).collect()}
+    assert found[1000] == "phone:12:26" and found[1001] == "email:9:23"
+    assert found[1005] == "card:10:29"
+    assert {i: found[i] for i in (1002, 1003, 1004, 1006, 1007)} == dict.fromkeys((1002, 1003, 1004, 1006, 1007), "")
+    assert sum(len(v.split(",")) for k, v in found.items() if k < 1000) == sum(len(brute_spans(t)) for t in texts)
+
+
+def test_pii_odd_rows(spark, odd, none):
+    """Null ids and texts, repeated rows, ties; a model of nothing adds nothing."""
+    model = pii.fit(odd)
+    rows = pii.detect(odd.select("doc_id", text_of().alias("text")), model).select("doc_id", "text", pii.written(F.col("spans")).alias("spans")).collect()
+    assert len(rows) == odd.count()
+    assert len({r["spans"] for r in rows if r["doc_id"] == 6}) == 1
+    assert all(set(brute_spans(r["text"])) <= set(r["spans"].split(",")) | {""} for r in rows)
+    empty = pii.fit(none)
+    assert all(c == 2.0 for c in empty.cuts.values()) and pii.detect(none.select("doc_id", "text"), empty).count() == 0
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_kneser_ney(spark, prose, order):
     docs = [(i, t) for i, t in prose[0][:60]] + [(900, None), (901, "zzz never seen"), (None, prose[0][0][1])]
