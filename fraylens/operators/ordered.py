@@ -144,7 +144,6 @@ def islands(
     bucket_seconds: float,
     totals: dict[str, Column] | None = None,
     index: str = "period_index",
-    many: bool = False,
 ) -> DataFrame:
     """Merge intervals of a key whose distance is at most ``gap_seconds``.
 
@@ -152,8 +151,8 @@ def islands(
 
     A new island starts only when ``start`` lies more than the gap after every earlier
     ``end``. ``totals`` are summed. Islands are first built inside each time slice, where
-    they shrink the data to at most one row per gap, and then stitched per key. With a gap
-    near zero one key may keep very many islands: ``many`` stitches them slice by slice too.
+    they shrink the data to at most one row per gap, and then stitched slice by slice, so
+    that a key with any number of islands is spread over tasks at every step.
     """
     totals = totals or {}
     seconds = F.col(gap_seconds) if isinstance(gap_seconds, str) else F.lit(float(gap_seconds))
@@ -180,13 +179,10 @@ def islands(
             *[F.sum(n).alias(n) for n in totals])
 
     pieces = merge(rows, [*keys, BUCKET], "__piece")
-    if many:
-        slice_of, line = time_bucket("__start", bucket_seconds), ["__start", "__end"]
-        reached = carry(pieces.drop(BUCKET, "__piece"), keys, line, slice_of, __reach=max_before(F.col("__end")))
-        flagged = reached.withColumn("__open", opens(F.col("__reach")))
-        merged = total(carry(flagged, keys, line, slice_of, **{index: running_sum(F.col("__open"))}), [*keys, index])
-    else:
-        merged = merge(pieces, list(keys), index)
+    slice_of, line = time_bucket("__start", bucket_seconds), ["__start", "__end"]
+    reached = carry(pieces.drop(BUCKET, "__piece"), keys, line, slice_of, __reach=max_before(F.col("__end")))
+    flagged = reached.withColumn("__open", opens(F.col("__reach")))
+    merged = total(carry(flagged, keys, line, slice_of, **{index: running_sum(F.col("__open"))}), [*keys, index])
     return merged.select(
         *keys, (F.col(index) - 1).alias(index),
         F.col("__start").alias("start_ts"), F.col("__end").alias("end_ts"), *totals)
