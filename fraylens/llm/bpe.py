@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraylens import session
-from fraylens.llm.shared import extended, shared_path, text_of, worker_cache
+from fraylens.llm.shared import extended, shared_path, stored, text_of, worker_cache
 from fraylens.llm.words import ID, WordEncoder
 
 #: Words in the lexicon at most, and how often one must occur. Rarer words are merged, not lost.
@@ -171,9 +171,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, entries: int) -> DataFrame:
+    """The ``entries`` words with the largest counts (ties: first in byte order).
+
+    A histogram of counts (four bars per power of two, some hundred rows) gives a bound that little more than ``entries`` words reach, so what tasks
+    send to the driver doesn't grow with their number.
+    """
+    counts = stored(counts, "word-counts")
+    bar = F.floor(F.log2("n") * 4)
+    least, seen = 0, 0
+    for least, words in sorted(counts.groupBy(bar.alias("bar")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        seen += words
+        if seen >= entries:
+            break
+    return counts.where(bar >= least).orderBy(F.desc("n"), "word").limit(entries)
+
+
 def build_lexicon(docs: DataFrame, tokenizer_path: str, entries: int = ENTRIES, least: int = LEAST) -> str:
     """Compiles the most frequent words into a new folder of the shared directory; returns its path."""
-    top = word_counts(docs).where((F.col("n") >= least) & (F.length("word") <= LONGEST)).orderBy(F.desc("n"), "word").limit(entries)
+    top = most_frequent(word_counts(docs).where((F.col("n") >= least) & (F.length("word") <= LONGEST)), entries)
     encoder = WordEncoder(tokenizer_path)
     words = [bytes(r["word"]) for r in top.collect()]
     path = shared_path(session.work_folder(docs.sparkSession, "lexicon"))

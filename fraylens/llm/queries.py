@@ -53,7 +53,9 @@ def op5_bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, folder, "documents"), session.work_folder(spark, "token-cache"), BYTES)
+    # a cache that stays is named in the session; otherwise each call starts with an empty one
+    cache = spark.conf.get("spark.fraylens.token.cache", None) or session.work_folder(spark, "token-cache")
+    return token_counts.count_tokens(table(spark, folder, "documents"), cache, BYTES)
 
 
 @query
