@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import statistics
 import time
 
 from pyspark.sql import functions as F
@@ -23,9 +24,14 @@ HEADLINE = [
 COPIES = 20
 
 
-def run(df) -> float:
+#: Warm runs of each query, as long as the whole benchmark has taken less than this many seconds.
+WARM, WARM_UNTIL = 3, 300
+
+
+def run(make) -> float:
+    """Seconds for building the query, including whatever it writes on the way, and for computing all its rows."""
     start = time.perf_counter()
-    df.write.format("noop").mode("overwrite").save()
+    make().write.format("noop").mode("overwrite").save()
     return time.perf_counter() - start
 
 
@@ -36,24 +42,35 @@ def main() -> None:
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     load_all()
-    run(QUERIES["a01_combatant_metrics"](spark, folder))
+    began = time.perf_counter()
+    run(lambda: QUERIES["a01_combatant_metrics"](spark, folder))
     wanted = os.environ.get("BENCH_QUERIES")
     times = {}  # seconds per query
     for name in wanted.split(",") if wanted else HEADLINE:
-        times[name] = round(run(QUERIES[name](spark, folder)), 3)
+        times[name] = round(run(lambda: QUERIES[name](spark, folder)), 3)
     rate = None
     if not wanted:
         # raw text to typed events: the log is written once, then read and parsed from files
         path = session.work_folder(spark, "bench-log")
         lines = log_lines(Tables(spark, folder)).withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(COPIES))))
         lines.repartition(int(cpus) * 2).select("line").write.text(path)
-        parsed = log.project_events(log.tokenize(log.read_log(spark, path)))
-        times["parse_log_files"] = round(run(parsed), 3)
-        rate = round(log.read_log(spark, path).count() / times["parse_log_files"])
+        times["parse_log_files"] = round(run(lambda: log.project_events(log.tokenize(log.read_log(spark, path)))), 3)
+        size = spark.read.text(path).agg(F.count("*").alias("lines"), F.sum(F.octet_length("value") + 1).alias("bytes")).first()
+        rate = round(size["lines"] / times["parse_log_files"])
+        speed = round(size["bytes"] / 1e6 / times["parse_log_files"], 1)
+    warm = {}  # median of the runs after the first
+    for name in [n for n in times if n in QUERIES]:
+        again = []
+        while len(again) < WARM and time.perf_counter() - began < WARM_UNTIL:
+            again.append(run(lambda: QUERIES[name](spark, folder)))
+        if again:
+            warm[name] = round(statistics.median(again), 3)
     out = {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
            "sf": folder.rstrip("/").rsplit("sf", 1)[-1], "cpus": int(cpus)}
     if rate:
-        out["parsed_events_per_sec"] = rate
+        out |= {"parsed_events_per_sec": rate, "parsed_mb_per_sec": speed}
+    if warm:
+        out["warm_queries"] = warm
     print(json.dumps(out))
     spark.stop()
 
