@@ -87,9 +87,28 @@ def _(t: Tables):
                     "amount", "overkill", "overhealing", "blocked", "absorbed", "critical", "aura_type", "stacks")
 
 
-@query("s06_parse_stats", """WITH {EV} SELECT guild_id, count(*) AS lines, count(*) FILTER (spell_id = 7) AS errors, round(1 - count(*) FILTER (spell_id = 7) / count(*), 8) AS success_rate FROM ev GROUP BY 1""")
+@query("s06_parse_stats", """WITH {EV} SELECT guild_id, count(*) AS lines, count(*) FILTER (spell_id = 7) AS errors, round(1 - count(*) FILTER (spell_id = 7) / count(*), 8) AS success_rate,
+  count(*) FILTER (spell_id <> 7 AND line_no % 50 = 0) AS unbalanced FROM ev GROUP BY 1""")
 def _(t: Tables):
-    return log.parse_stats(log.tokenize(log_lines(t)), ["guild_id"]).withColumn("success_rate", F.round("success_rate", 8))
+    torn = F.when(F.col("line_no") % 50 == 0, F.lit(",[(1,2),(3")).otherwise("")
+    lines = log_lines(t).withColumn("line", F.concat("line", torn))
+    return log.parse_stats(log.tokenize(lines), ["guild_id"]).withColumn("success_rate", F.round("success_rate", 8))
+
+
+@query("s04_nested_any_depth", """WITH {EV} SELECT line_no, 3::BIGINT AS fields, spell_id * 2 + amount AS total, 'a, (b' AS quoted FROM ev WHERE spell_id <> 7""")
+def _(t: Tables):
+    # four levels: [(1,[("a, (b",[spell]),(x,[spell,amount])]),9]
+    k, n = F.col("spell_id").cast("string"), F.col("amount").cast("string")
+    nested = F.concat(F.lit('[(1,[("a, (b",['), k, F.lit("]),(x,["), k, F.lit(","), n, F.lit("])]),9]"))
+    e = combat_events(t).where("spell_id <> 7")
+    lines = e.select("guild_id", F.lit("n").alias("file_id"), F.lit(0).cast("long").alias("block"), "line_no", F.concat(
+        F.date_format("ts", "M/d/yyyy HH:mm:ss.SSS"), F.lit("-4  NESTED,"), nested, F.lit(",7,"), F.lit("(1,(2,(3,(4))))")).alias("line"))
+    d = log.tokenize(lines)
+    pairs = log.members(F.get(log.members(F.get(log.members(F.get("params", F.lit(0))), F.lit(0))), F.lit(1)))
+    lists = F.flatten(F.transform(pairs, lambda p: log.members(F.get(log.members(p), F.lit(1)))))
+    numbers = F.aggregate(F.transform(lists, lambda x: x.cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    first = F.get(log.members(F.get(pairs, F.lit(0))), F.lit(0))
+    return d.select("line_no", F.size("params").cast("long").alias("fields"), numbers.alias("total"), F.substring_index(F.substring_index(first, '"', 2), '"', -1).alias("quoted"))
 
 
 @query("s06_parse_errors", "WITH {EV} SELECT line_no, 'broken line ' || line_no AS line FROM ev WHERE spell_id = 7")

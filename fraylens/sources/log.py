@@ -22,6 +22,9 @@ _ARRAY = r"\[[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+\]"
 _TUPLE = r"\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)"
 FIELD = rf'(?:^|,)((?:[^,"\[(]++|{_QUOTED}|{_ARRAY}|{_TUPLE}|["\[(])*+)'
 MARK = "\u0001"
+# a quoted string, a bracket, a comma, a run of anything else, or a quote that never ends
+_PIECE = rf'{_QUOTED}|[\[\](),]|[^"\[\](),]++|"'
+_BRACKET = rf'{_QUOTED}|[\[\]()]'
 SPECIAL = ["COMBAT_LOG_VERSION", "ZONE_CHANGE", "MAP_CHANGE", "ENCOUNTER_START", "ENCOUNTER_END",
            "CHALLENGE_MODE_START", "CHALLENGE_MODE_END", "COMBATANT_INFO"]
 
@@ -65,6 +68,55 @@ def read_log(spark: SparkSession, paths: str | Sequence[str], guild_id: int = 1)
         F.rtrim("value").alias("line")).filter((F.trim("line") != "") & ~F.col("line").startswith("#"))
 
 
+def _opens(piece: Column) -> Column:
+    return piece.isin("[", "(")
+
+
+def _closes(piece: Column) -> Column:
+    return piece.isin("]", ")")
+
+
+def nesting(text: Column) -> Column:
+    """Struct of the greatest depth of brackets outside quotes, whether one closed that wasn't open, and how many are open at the end."""
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"), F.lit(False).alias("below"))
+
+    def step(a: Column, piece: Column) -> Column:
+        now = a["now"] + F.when(_opens(piece), 1).when(_closes(piece), -1).otherwise(0)
+        return F.struct(F.greatest(now, F.lit(0)).alias("now"), F.greatest(a["most"], now).alias("most"), (a["below"] | (now < 0)).alias("below"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_BRACKET), F.lit(0)), start, step, lambda a: F.struct(
+        a["most"].alias("depth"), a["below"].alias("below"), a["now"].alias("open")))
+
+
+def balanced(text: Column) -> Column:
+    """Whether every bracket outside quotes has its other half."""
+    return F.exists(F.array(nesting(text)), lambda n: ~n["below"] & (n["open"] == 0))
+
+
+def split_top(text: Column) -> Column:
+    """The parts of ``text`` between commas that are in no quotes and no brackets, whatever the depth of nesting."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("part"), F.array().cast("array<string>").alias("parts"))
+
+    def step(a: Column, piece: Column) -> Column:
+        cut = (piece == ",") & (a["depth"] == 0)
+        return F.struct(F.when(_opens(piece), a["depth"] + 1).when(_closes(piece), F.greatest(a["depth"] - 1, F.lit(0))).otherwise(a["depth"]).alias("depth"),
+                        F.when(cut, "").otherwise(F.concat(a["part"], piece)).alias("part"),
+                        F.when(cut, F.concat(a["parts"], F.array(a["part"]))).otherwise(a["parts"]).alias("parts"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), start, step, lambda a: F.concat(a["parts"], F.array(a["part"])))
+
+
+def members(text: Column) -> Column:
+    """The members of one bracketed list, themselves as text; an empty list has none, null what is no balanced list."""
+    def cut(t: Column) -> Column:
+        is_list = t.rlike(r"(?s)^(\[.*\]|\(.*\))$") & balanced(t)
+        inner = F.trim(F.substring(t, 2, F.length(t) - 2))
+        return F.when(is_list, F.when(inner == "", F.array().cast("array<string>")).otherwise(F.transform(split_top(inner), lambda x: F.trim(x))))
+
+    # the text stands in a lambda variable, so that nested calls compute it once
+    return F.get(F.transform(F.array(F.trim(text)), cut), F.lit(0))
+
+
 def tokenize(lines: DataFrame) -> DataFrame:
     """Add ts, tz_offset, event_type and params (raw strings, quotes removed, nil as null).
 
@@ -73,7 +125,10 @@ def tokenize(lines: DataFrame) -> DataFrame:
     cut = F.split(F.regexp_replace("line", STAMP, f"$1 $2{MARK}$3{MARK}$4"), MARK, 3)
     stamp, rest = F.get("__cut", F.lit(0)), F.get("__cut", F.lit(2))
     whole = F.when(rest.endswith(","), rest.substr(F.lit(1), F.length(rest) - 1)).otherwise(rest)
-    fields = F.regexp_extract_all(whole, F.lit(FIELD), F.lit(1))
+    # a pattern covers two levels of brackets, as nearly all lines have; what is nested deeper is cut by counting depth. Lines whose brackets
+    # don't match are cut at every comma outside of whole brackets and counted by ``parse_stats``
+    deep = (whole.contains("(") | whole.contains("[")) & (F.regexp_count(whole, F.lit(r"[\[(]")) > 2) & F.exists(F.array(nesting(whole)), lambda n: (n["depth"] > 2) & ~n["below"] & (n["open"] == 0))
+    fields = F.when(deep, split_top(whole)).otherwise(F.regexp_extract_all(whole, F.lit(FIELD), F.lit(1)))
 
     def clean(x: Column) -> Column:
         x = F.trim(x)
@@ -223,8 +278,10 @@ def parse_errors(tokens: DataFrame) -> DataFrame:
 
 
 def parse_stats(tokens: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Lines, errors, readable lines with a list that doesn't close or was never opened, and the share of readable lines."""
     bad = F.col("ts").isNull() | F.col("event_type").isNull()
-    d = tokens.groupBy(*keys).agg(F.count("*").alias("lines"), F.count_if(bad).alias("errors"))
+    torn = F.exists("params", lambda x: F.coalesce(x.rlike(r"^[\[(]|^[^\[(]*[\])]$") & ~balanced(x), F.lit(False)))
+    d = tokens.groupBy(*keys).agg(F.count("*").alias("lines"), F.count_if(bad).alias("errors"), F.count_if(~bad & torn).alias("unbalanced"))
     return d.withColumn("success_rate", (F.col("lines") - F.col("errors")) / F.greatest(F.col("lines"), F.lit(1)))
 
 

@@ -163,3 +163,44 @@ def test_another_cut_is_an_error(spark, tmp_path):
             lines.collect()
     finally:
         spark.conf.set(key, before)
+
+
+def plain_split(text):
+    """Top-level parts, by a loop over characters."""
+    parts, now, depth, quoted, i = [], "", 0, False, 0
+    while i < len(text):
+        c = text[i]
+        if quoted and c == "\\":
+            now, i = now + text[i:i + 2], i + 2
+            continue
+        if c == '"':
+            quoted = not quoted
+        elif not quoted and c in "[(":
+            depth += 1
+        elif not quoted and c in "])":
+            depth = max(0, depth - 1)
+        if c == "," and not quoted and depth == 0:
+            parts, now = parts + [now], ""
+        else:
+            now += c
+        i += 1
+    return parts + [now]
+
+
+def test_nesting_of_any_depth(spark):
+    deep = "x" if True else ""
+    for i in range(7):
+        deep = f"[({i},{deep}),\"q, ]({i}\"]"
+    texts = [deep, f"1,{deep},2", "", ",", "a,,b", "[]", "()", "[(1,2),(3,(4,[5,(6)]))],7", 'x,"a\\"b, [",(1,(2,(3)))', "(((((((1,2),3),4),5),6),7),8),9"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", log.split_top(F.col("t")).alias("parts"), log.members(F.col("t")).alias("members")).collect()
+    for r in rows:
+        assert r["parts"] == (plain_split(r["t"]) if r["t"] else [""])
+        whole = r["t"][:1] in "[(" and r["t"][-1:] in "])" and len(plain_split(r["t"])) == 1 and r["t"]
+        assert r["members"] == (None if not whole else [] if len(r["t"]) == 2 else plain_split(r["t"][1:-1]))
+    line = '9/15/2025 21:30:00.000-4  NESTED,1,' + deep + ',"z",(1,(2,(3)))'
+    torn = '9/15/2025 21:30:00.000-4  NESTED,1,[(1,2),(3,4'
+    d = log.tokenize(spark.createDataFrame([("f", 1, line), ("f", 2, torn), ("f", 3, "9/15/2025 21:30:00.000-4  OK,[(1,2)],\"a (b\""), ("f", 4, "junk")], "file_id string, line_no long, line string"))
+    got = {r["line_no"]: r["params"] for r in d.collect()}
+    assert got[1] == ["1", deep, "z", "(1,(2,(3)))"] and got[3] == ["[(1,2)]", "a (b"]
+    stats = log.parse_stats(d).first()
+    assert (stats["lines"], stats["errors"], stats["unbalanced"]) == (4, 1, 1)
