@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fraylens.functions import classify as C
 from fraylens.functions import lookups as L
+from fraylens.operators.ordered import join_keys
 from fraylens.operators.sequence import seconds_between
 
 
@@ -349,6 +350,18 @@ def aggregate_window(events: DataFrame, every: str, keys: Sequence[str], value:
             .select(F.col("w.start").alias("window_start"), *keys, "total", "mean", "n"))
 
 
+def aggregate_auto(events: DataFrame, keys: Sequence[str], value: str, row_id: str) -> DataFrame:
+    """Mean and count of ``value`` per key in windows whose width follows the key's own time span; rows of a short span stay single.
+
+    Spans are one row per key, joined to the events; a busy key is split by the adaptive skew join and summed up before the shuffle.
+    """
+    spans = events.groupBy(*keys).agg(window_width(F.min("ts"), F.max("ts")).alias("width"))
+    at, width = F.unix_micros("ts"), F.col("width").cast("long") * 1_000_000
+    placed = join_keys(events, spans, keys).withColumns({
+        "window_us": F.when(F.col("width") == 0, at).otherwise(at - F.pmod(at, F.greatest(width, F.lit(1)))), "row_id": F.when(F.col("width") == 0, F.col(row_id))})
+    return placed.groupBy(*keys, "width", "window_us", "row_id").agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+
+
 def encounter_totals(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Damage, healing and distinct players for any grouping (players of either side)."""
     kind = F.col("event_type")

@@ -302,6 +302,14 @@ def _(t: Tables):
         "source_guid", M.window_width(F.col("a"), F.col("b")).alias("width"))
 
 
+@query("a35_auto_windows", """WITH {EV}, s AS (SELECT source_guid, spell_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 86400e6 AS days FROM ev GROUP BY 1, 2),
+x AS (SELECT ev.*, CAST(CASE WHEN days > 7 THEN 3600 WHEN days > 1 THEN 600 ELSE 0 END AS BIGINT) AS width, epoch_us(ts) AS us FROM ev JOIN s USING (source_guid, spell_id))
+SELECT source_guid, spell_id, width, CASE WHEN width = 0 THEN us ELSE us // (width * 1000000) * width * 1000000 END AS window_us, CASE WHEN width = 0 THEN line_no END AS row_id,
+  round(avg(amount), 6) AS mean, count(*) AS n FROM x GROUP BY ALL""", longs=("width",))
+def _(t: Tables):
+    return M.aggregate_auto(combat_events(t), ["source_guid", "spell_id"], "amount", "line_no").withColumn("mean", F.round("mean", 6))
+
+
 @query("a36_encounter_totals", """WITH {EV}, p AS (SELECT guild_id, encounter_key, source_guid AS g FROM ev UNION SELECT guild_id, encounter_key, dest_guid FROM ev),
 n AS (SELECT guild_id, encounter_key, count(DISTINCT g) AS players FROM p WHERE g LIKE 'Player-%' GROUP BY 1, 2)
 SELECT guild_id, encounter_key, CAST(coalesce(sum(amount) FILTER (event_type = 'SPELL_DAMAGE'), 0) AS BIGINT) AS damage,
