@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from fraylens import session
 from fraylens.functions import classify as C
 from fraylens.operators.metrics import effective
 from fraylens.operators.ordered import newest
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
 MESSAGE = "client_id string, session_id string, seq bigint, client_ts double, line string"
 
 
@@ -59,9 +61,19 @@ def batch_writer(path: str, transform: Callable[[DataFrame, int], DataFrame] | N
 
 
 def run_available(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None], checkpoint: str, timeout: int | None = None) -> None:
-    """Process everything that is there, however long it takes (``timeout``: seconds, if the caller sets a limit), then stop."""
-    q = (stream.writeStream.outputMode(mode).foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    """Process everything that is there, however long it takes (``timeout``: seconds, if the caller sets a limit), then stop.
+
+    State lies in RocksDB whatever the session's own store is: state machines need its column families. A query takes over the settings of its session
+    when it starts, so the session has its own store again right after.
+    """
+    conf = stream.sparkSession.conf
+    own = conf.get(STORE, None)
+    conf.set(STORE, session.DEFAULTS[STORE])
+    try:
+        q = (stream.writeStream.outputMode(mode).foreachBatch(write)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        conf.unset(STORE) if own is None else conf.set(STORE, own)
     if timeout is None:
         q.awaitTermination()
     elif not q.awaitTermination(timeout):

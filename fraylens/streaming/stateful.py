@@ -2,8 +2,8 @@
 
 Each is a state machine per key under ``transformWithState`` (state in RocksDB; nothing earlier is read again). What reaches Python is small: boundary
 rows for encounters, and for the other two sums or ranges that each Arrow batch has formed before the shuffle. Every output row has a ``revision`` that
-grows per key, so a sink keeps the newest version of a row whatever batch it came in (``newest(..., ["revision"])``). The state store must be RocksDB
-(``session.DEFAULTS``).
+grows per key, so a sink keeps the newest version of a row whatever batch it came in (``newest(..., ["revision"])``). The state store must be RocksDB:
+``live.run_available`` sees to it in any session.
 """
 
 from __future__ import annotations
