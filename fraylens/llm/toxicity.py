@@ -23,6 +23,8 @@ SAMPLE, FOLDS, ENTRIES = 20_000, 4, 4000
 #: Occurrences (distinct toxic texts) that an entry needs, and its log-odds for the plain and the strong lexicon.
 SUPPORT, PLAIN, STRONG = 3, 1.5, 3.5
 STEM = 4
+#: Rows of entries that a task holds before it sends them on (and those of one more text).
+HELD = 50_000
 #: Words of the second person (fixed values).
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie ihnen tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
 EDGE = ".,;:!?\"'()[]{}<>|#*$%&+=-_~^`/\\"
@@ -103,6 +105,22 @@ def _entries(counts: pd.DataFrame, toxic: float, clean: float, out: int | None)
     return pick(~stem & support & (odds >= STRONG)), pick(~stem & support & (odds >= PLAIN)), pick(stem & support & (odds >= STRONG))
 
 
+def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each distinct word and word beginning of each text (text, toxic, fold), in parts: a batch of texts has hundreds of rows a text."""
+    release()
+    columns = ["entry", "stem", "toxic", "fold"]
+    out: list[tuple] = []
+    for b in batches:
+        for text, toxic, fold in zip(b["text"], b["toxic"], b["fold"]):
+            words = {bare(c) for c in set(text.encode().split())} - {""}
+            out += [(w, False, toxic, fold) for w in words]
+            out += [(s, True, toxic, fold) for s in {w[:STEM] for w in words if len(w) > STEM}]
+            if len(out) >= HELD:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+    yield pd.DataFrame(out, columns=columns)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """From ``labels`` (doc_id, toxic), at most ``sample`` rows of it chosen by hash; a document with several labels has their largest."""
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -111,16 +129,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = stored(rows.groupBy(F.xxhash64("text").alias("key")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).withColumn(
         "fold", F.pmod(F.xxhash64(F.substring("text", 1, 40)), F.lit(FOLDS)).cast("int")), "toxic-sample")
 
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        release()
-        for b in batches:
-            out = []
-            for text, toxic, fold in zip(b["text"], b["toxic"], b["fold"]):
-                words = {bare(c) for c in set(text.encode().split())} - {""}
-                out += [(w, False, toxic, fold) for w in words]
-                out += [(s, True, toxic, fold) for s in {w[:STEM] for w in words if len(w) > STEM}]
-            yield pd.DataFrame(out, columns=["entry", "stem", "toxic", "fold"])
-
     one = lambda label, k: F.sum(F.when((F.col("toxic") == label) & (F.col("fold") == k), 1).otherwise(0)).alias(f"{'qp'[label]}{k}")
     size = rows.groupBy().agg(*(one(v, k) for v in (0, 1) for k in range(FOLDS))).first()
     per_fold = [[size[f"{c}{k}"] or 0 for k in range(FOLDS)] for c in "pq"]
