@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fraylens.operators.ordered import carry, time_bucket, upto
+from fraylens.operators.ordered import carry, running_sum, time_bucket, upto
 
 SLICE = "__slice"
 
@@ -49,6 +49,43 @@ def range_join(
     return p.join(w, condition, how).drop(SLICE, "__w_" + SLICE, *names.values())
 
 
+def span_totals(
+    points: DataFrame,
+    windows: DataFrame,
+    by: Sequence[str],
+    ts: str,
+    value: str,
+    span_seconds: float,
+    start: str = "start_ts",
+) -> DataFrame:
+    """Number of points (``events``) and sum of ``value`` (``total``) in ``[start, start + span]`` per ``by``; windows without a point are left out.
+
+    No point is paired with a window. With slices as long as the span a window is the end of one slice and the beginning of the next, so
+    running sums along time, forwards and backwards from the slice borders, give both parts: n log n, however many windows hold a point.
+    The parts are added and nothing is subtracted, so values outside a window don't touch its sum.
+    """
+    span = int(round(span_seconds * 1e6))
+
+    def home(at: Column) -> Column:
+        return at - F.pmod(at, F.lit(span))
+
+    def ways(forwards: Column, backwards: Column) -> Column:
+        return F.explode(F.array(*[
+            F.struct(home(at).alias(SLICE), F.lit(sign).alias("__way"), (at * sign).alias("__at")) for at, sign in ((forwards, 1), (backwards, -1))]))
+
+    at, opens = F.unix_micros(ts), F.unix_micros(start)
+    p = points.filter(F.col(ts).isNotNull()).select(F.col(value).alias("__value"), ways(at, at).alias("__p")).select(
+        "__p.*", F.lit(0).alias("__rank"), "__value")
+    w = windows.filter(F.col(start).isNotNull()).select(*by, ways(opens + span, opens).alias("__p")).select(*by, "__p.*", F.lit(1).alias("__rank"))
+    summed = carry(
+        w.unionByName(p, allowMissingColumns=True), [SLICE, "__way"], ["__at", "__rank"], F.floor(F.col("__at") / max(span // 16, 1)),
+        __events=running_sum((F.col("__rank") == 0).cast("long")), __known=running_sum(F.col("__value").isNotNull().cast("long")),
+        __total=running_sum(F.col("__value")))
+    totals = summed.filter(F.col("__rank") == 1).groupBy(*by).agg(
+        F.sum("__events").alias("events"), F.sum("__known").alias("__known"), F.sum("__total").alias("total"))
+    return totals.filter(F.col("events") > 0).select(*by, "events", F.when(F.col("__known") > 0, F.col("total")).alias("total"))
+
+
 def locate(
     points: DataFrame,
     windows: DataFrame,
