@@ -149,16 +149,24 @@ def top_level_windows(encounters: DataFrame, runs: DataFrame, keys: Sequence[str
 def match_fights(
     fights: DataFrame, encounters: DataFrame, key: str, tolerance_seconds: float = 60.0
 ) -> DataFrame:
-    """Nearest encounter of the same id whose start differs by at most the tolerance."""
-    width = tolerance_seconds
-    near = F.explode(F.array(*[time_bucket("enc_start", width) + d for d in (-1, 0, 1)]))
-    e = encounters.select(key, "encounter_id", F.col("start_ts").alias("enc_start")).withColumn("__b", near)
-    f = fights.withColumn("__b", time_bucket("start_ts", width))
-    off = F.abs(F.unix_micros("start_ts") - F.unix_micros("enc_start"))
-    pairs = f.join(e, [key, "__b"]).withColumn("offset_us", off).filter(off <= int(tolerance_seconds * 1e6))
-    return pairs.groupBy("fight_id").agg(
-        F.min_by("encounter_id", F.struct("offset_us", "encounter_id")).alias("encounter_id"),
-        F.min("offset_us").alias("offset_us"))
+    """Nearest encounter of the same id whose start differs by at most the tolerance; of equally near ones the least encounter_id.
+
+    Along time each fight sees the last encounter that starts no later and the first one that starts later, so nothing is paired.
+    """
+    known = F.col(key).isNotNull() & F.col("start_ts").isNotNull()
+    # encounters that start together are equally near: the least of their ids stands for all
+    e = encounters.filter(known).groupBy(key, "start_ts").agg(F.min(F.struct("encounter_id")).alias("__e"))
+    e = e.select(key, "start_ts", F.lit(0).alias("__rank"), F.struct(F.unix_micros("start_ts").alias("at"), "__e.encounter_id").alias("__enc"))
+    f = fights.filter(known).select(key, "start_ts", F.lit(1).alias("__rank"), "fight_id")
+    near = carry(f.unionByName(e, allowMissingColumns=True), [key], ["start_ts", "__rank"], time_bucket("start_ts", tolerance_seconds),
+                 __last=upto(F.col("__enc")), __next=after(F.col("__enc"))).filter(F.col("__rank") == 1)
+
+    def offered(x: str) -> Column:
+        off = F.abs(F.unix_micros("start_ts") - F.col(f"{x}.at"))
+        return F.when(off <= int(tolerance_seconds * 1e6), F.struct(off.alias("offset_us"), F.col(f"{x}.encounter_id")))
+
+    best = near.select("fight_id", F.least(offered("__last"), offered("__next")).alias("__best")).filter(F.col("__best").isNotNull())
+    return best.groupBy("fight_id").agg(F.min("__best").alias("__best")).select("fight_id", "__best.encounter_id", "__best.offset_us")
 
 
 def phase_at(points: DataFrame, phases: DataFrame, keys: Sequence[str], payload: Sequence[str], bucket_seconds: float = DAY) -> DataFrame:
