@@ -139,19 +139,29 @@ def _(t: Tables):
 
 def info_lines(t: Tables):
     """A COMBATANT_INFO line per order: line items as equipment, parts as talents and auras."""
-    li = t.lineitem
-    item = F.format_string("(%d,%d,(%d,50),(%d),(%d,%d))", F.col("l_partkey") + 1, F.col("l_quantity").cast("long") + 600,
-                           F.col("l_partkey") + 100000, F.col("l_suppkey") % 3, F.col("l_linenumber") + 5000, F.col("l_suppkey") + 200)
-    talent = F.format_string("(%d,%d,%d)", F.col("l_partkey") + 1, F.col("l_suppkey") * 100, F.col("l_linenumber"))
-    aura = F.format_string("Player-%d,%d,%d", "l_suppkey", F.when(F.col("l_suppkey") % 10 == 0, 431972).when(F.col("l_suppkey") % 10 == 1, 104273).otherwise(F.col("l_suppkey")), "l_linenumber")
-    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity"), item.alias("i"), talent.alias("t"), aura.alias("a"))))
-    g = li.groupBy("l_orderkey").agg(rows.alias("r"))
+    # only numbers are grouped, their texts are made of them afterwards
+    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
+    g = t.lineitem.groupBy("l_orderkey").agg(rows.alias("r"))
     stats = F.concat_ws(",", F.lit("0"), *[F.lit(str(n)) for n in range(1, 22)], (F.col("l_orderkey") % 300).cast("string"))
 
+    def text(*parts):
+        return F.concat(*[F.lit(x) if isinstance(x, str) else F.coalesce(x.cast("string"), F.lit("null")) for x in parts])
+
+    def item(x):
+        return text("(", x["l_partkey"] + 1, ",", x["l_quantity"].cast("long") + 600, ",(", x["l_partkey"] + 100000, ",50),(", x["l_suppkey"] % 3,
+                    "),(", x["l_linenumber"] + 5000, ",", x["l_suppkey"] + 200, "))")
+
+    def talent(x):
+        return text("(", x["l_partkey"] + 1, ",", x["l_suppkey"] * 100, ",", x["l_linenumber"], ")")
+
+    def aura(x):
+        spell = F.when(x["l_suppkey"] % 10 == 0, 431972).when(x["l_suppkey"] % 10 == 1, 104273).otherwise(x["l_suppkey"])
+        return text("Player-", x["l_suppkey"], ",", spell, ",", x["l_linenumber"])
+
     def arr(f):
-        return F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x[f]), ","), F.lit("]"))
-    line = F.concat(F.lit("1/2/2024 03:04:05.678+1  COMBATANT_INFO,Player-"), F.col("l_orderkey").cast("string"), F.lit(","), stats, F.lit(","), arr("t"),
-                    F.lit(",(1,0,22,0),"), arr("i"), F.lit(","), arr("a"))
+        return F.concat(F.lit("["), F.array_join(F.transform("r", f), ","), F.lit("]"))
+    line = F.concat(F.lit("1/2/2024 03:04:05.678+1  COMBATANT_INFO,Player-"), F.col("l_orderkey").cast("string"), F.lit(","), stats, F.lit(","), arr(talent),
+                    F.lit(",(1,0,22,0),"), arr(item), F.lit(","), arr(aura))
     return g.select(F.col("l_orderkey").alias("line_no"), line.alias("line"))
 
 

@@ -25,6 +25,18 @@ MARK = "\u0001"
 # a quoted string, a bracket, a comma, a run of anything else, or a quote that never ends
 _PIECE = rf'{_QUOTED}|[\[\](),]|[^"\[\](),]++|"'
 _BRACKET = rf'{_QUOTED}|[\[\]()]'
+
+
+def _matched(levels: int) -> str:
+    """Pattern of one bracketed text of at most ``levels`` levels in which each bracket is closed by its own kind and quoted strings are whole."""
+    inside = rf'[^"\[\]()]++|{_QUOTED}' + (f"|{_matched(levels - 1)}" if levels > 1 else "")
+    return rf"(?:\[(?:{inside})*+\]|\((?:{inside})*+\))"
+
+
+#: Lines of brackets that match and are two deep at most; what stands between two top commas, its brackets matching and up to ``LEVELS`` deep.
+LEVELS = 5
+SHALLOW = rf'^(?:[^"\[\]()]++|{_QUOTED}|{_matched(2)})*+\z'
+PART = rf'(?:(?<=,)|^)(?:[^,"\[\]()]++|{_QUOTED}|{_matched(LEVELS)})*+'
 SPECIAL = ["COMBAT_LOG_VERSION", "ZONE_CHANGE", "MAP_CHANGE", "ENCOUNTER_START", "ENCOUNTER_END",
            "CHALLENGE_MODE_START", "CHALLENGE_MODE_END", "COMBATANT_INFO"]
 
@@ -125,10 +137,17 @@ def tokenize(lines: DataFrame) -> DataFrame:
     cut = F.split(F.regexp_replace("line", STAMP, f"$1 $2{MARK}$3{MARK}$4"), MARK, 3)
     stamp, rest = F.get("__cut", F.lit(0)), F.get("__cut", F.lit(2))
     whole = F.when(rest.endswith(","), rest.substr(F.lit(1), F.length(rest) - 1)).otherwise(rest)
-    # a pattern covers two levels of brackets, as nearly all lines have; what is nested deeper is cut by counting depth. Lines whose brackets
-    # don't match are cut at every comma outside of whole brackets and counted by ``parse_stats``
-    deep = (whole.contains("(") | whole.contains("[")) & (F.regexp_count(whole, F.lit(r"[\[(]")) > 2) & F.exists(F.array(nesting(whole)), lambda n: (n["depth"] > 2) & ~n["below"] & (n["open"] == 0))
-    fields = F.when(deep, split_top(whole)).otherwise(F.regexp_extract_all(whole, F.lit(FIELD), F.lit(1)))
+    # FIELD covers two levels of brackets of a kind, as nearly all lines have, PART more levels where all brackets match; what is nested deeper still is
+    # cut by counting depth, piece by piece. Lines whose brackets don't match are cut at every comma outside of whole brackets and counted by ``parse_stats``
+    plain = F.regexp_extract_all(whole, F.lit(FIELD), F.lit(1))
+    flat = ~(whole.contains("(") | whole.contains("["))
+    deep = F.exists(F.array(nesting(whole)), lambda n: (n["depth"] > 2) & ~n["below"] & (n["open"] == 0))
+
+    def whole_parts(parts: Column) -> Column:  # brackets that don't match are in no part, so that the parts don't make up the line
+        return F.when(F.array_join(parts, ",") == whole, parts).when(deep, split_top(whole)).otherwise(plain)
+
+    fields = F.when(flat | whole.rlike(SHALLOW), plain).otherwise(
+        F.get(F.transform(F.array(F.regexp_extract_all(whole, F.lit(PART), F.lit(0))), whole_parts), F.lit(0)))
 
     def clean(x: Column) -> Column:
         x = F.trim(x)
@@ -312,16 +331,16 @@ def validate_events(tokens: DataFrame) -> DataFrame:
 
 def long_list(text: Column) -> Column:
     """Integers of a flat ``[..]`` or ``(..)``."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"-?\d+"), F.lit(0)), lambda x: x.cast("long"))
+    return F.regexp_extract_all(text, F.lit(r"-?\d+"), F.lit(0)).cast("array<bigint>")
 
 
 def tuples(text: Column, fields: Sequence[str]) -> Column:
     """Structs of integers from ``[(a,b,c),(..)]``; tuples that are too short are left out."""
     body = ",".join([r"(-?\d+)"] * len(fields))
     pattern = rf"\({body}(?:,[^()]*)?\)"
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.transform(found, lambda m: F.struct(
-        *[F.regexp_extract(m, pattern, i + 1).cast("long").alias(f) for i, f in enumerate(fields)]))
+    # a pass over the text for each group, and none over the single tuples
+    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)) for i in range(len(fields))]
+    return F.arrays_zip(*found).cast(f"array<struct<{','.join(f'`{f}`:bigint' for f in fields)}>>")
 
 
 _ITEM = r"\((\d+),(\d+),\(([^()]*)\),\(([^()]*)\),\(([^()]*)\)[^()]*\)"
@@ -329,21 +348,30 @@ _ITEM = r"\((\d+),(\d+),\(([^()]*)\),\(([^()]*)\),\(([^()]*)\)[^()]*\)"
 
 def item_list(text: Column) -> Column:
     """Structs item_id, ilvl, gems, enchants, bonus_ids from the equipment array."""
-    found = F.regexp_extract_all(text, F.lit(_ITEM), F.lit(0))
-    return F.transform(found, lambda m: F.struct(
-        F.regexp_extract(m, _ITEM, 1).cast("long").alias("item_id"), F.regexp_extract(m, _ITEM, 2).cast("long").alias("ilvl"),
-        long_list(F.regexp_extract(m, _ITEM, 3)).alias("gems"), long_list(F.regexp_extract(m, _ITEM, 4)).alias("enchants"),
-        long_list(F.regexp_extract(m, _ITEM, 5)).alias("bonus_ids")))
+    # (id,level,(gems),(enchants),(bonus)..): what has been found holds no other parentheses, so it is taken apart at the closing ones
+    found = F.transform(F.regexp_extract_all(text, F.lit(_ITEM), F.lit(0)), lambda m: F.split(m, r"\)"))
+
+    def numbers(x: Column, i: int) -> Column:
+        return long_list(F.substring_index(F.get(x, F.lit(i)), "(", -1))
+
+    def first(x: Column, i: int) -> Column:
+        return F.substring_index(F.substring_index(F.get(x, F.lit(0)), ",", i), "(" if i == 1 else ",", -1).cast("long")
+
+    return F.transform(found, lambda x: F.struct(
+        first(x, 1).alias("item_id"), first(x, 2).alias("ilvl"), numbers(x, 0).alias("gems"), numbers(x, 1).alias("enchants"), numbers(x, 2).alias("bonus_ids")))
 
 
 def aura_list(text: Column) -> Column:
     """Structs source, spell, stacks from a flat array read in threes."""
-    flat = F.split(F.regexp_replace(text, r"^\[|\]$", ""), ",")
-    n = F.floor(F.size(flat) / 3).cast("int")
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(
-        F.get(flat, i * 3).alias("source"), F.coalesce(F.get(flat, i * 3 + 1).try_cast("long"), F.lit(0)).alias("spell"),
-        F.coalesce(F.get(flat, i * 3 + 2).try_cast("long"), F.lit(1)).alias("stacks")))
+    def read(flat: Column) -> Column:
+        n = F.floor(F.size(flat) / 3).cast("int")
+        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(
+            F.get(flat, i * 3).alias("source"), F.coalesce(F.get(flat, i * 3 + 1).try_cast("long"), F.lit(0)).alias("spell"),
+            F.coalesce(F.get(flat, i * 3 + 2).try_cast("long"), F.lit(1)).alias("stacks")))
+
+    # the parts stand in a lambda variable, so that a text is cut once and not for every aura
+    return F.get(F.transform(F.array(F.split(F.regexp_replace(text, r"^\[|\]$", ""), ",")), read), F.lit(0))
 
 
 STATS = ["faction", "strength", "agility", "stamina", "intelligence", "dodge", "parry", "block", "crit_melee", "crit_ranged",
@@ -361,13 +389,12 @@ def combatant_info(tokens: DataFrame) -> DataFrame:
         return (x.cast("long") if name in WHOLE else x).alias(name)
 
     keep = [c for c in ("guild_id", "file_id", "block", "line_no") if c in tokens.columns]
-    read = F.struct(
-        F.get("params", F.lit(0)).alias("player_guid"), *[stat(i, n) for i, n in enumerate(STATS)],
+    # plain columns: each is compiled, parsed once however often it is used (Spark doesn't inline what is costly), and those nobody asks for aren't
+    return d.select(
+        *keep, "ts", F.get("params", F.lit(0)).alias("player_guid"), *[stat(i, n) for i, n in enumerate(STATS)],
         tuples(F.get("params", F.lit(24)), ["id", "spell", "rank"]).alias("talents"),
         long_list(F.get("params", F.lit(25))).alias("pvp_talents"),
         item_list(F.get("params", F.lit(26))).alias("items"), aura_list(F.get("params", F.lit(27))).alias("auras"))
-    # one-element explode: the nested arrays are parsed once however often they are used
-    return d.select(*keep, "ts", F.explode(F.array(read)).alias("__c")).select(*keep, "ts", "__c.*")
 
 
 # --- gear, talents, consumables -------------------------------------------------------------------------
