@@ -389,7 +389,8 @@ def combatant_info(tokens: DataFrame) -> DataFrame:
         return (x.cast("long") if name in WHOLE else x).alias(name)
 
     keep = [c for c in ("guild_id", "file_id", "block", "line_no") if c in tokens.columns]
-    # plain columns: each is compiled, parsed once however often it is used (Spark doesn't inline what is costly), and those nobody asks for aren't
+    # plain columns are compiled, and Spark parses only those that are asked for. Several uses of a list share its parsing, except that a filter on it,
+    # also the one that exploding it implies, parses it again: put it into a one-element explode first, as the snapshots do
     return d.select(
         *keep, "ts", F.get("params", F.lit(0)).alias("player_guid"), *[stat(i, n) for i, n in enumerate(STATS)],
         tuples(F.get("params", F.lit(24)), ["id", "spell", "rank"]).alias("talents"),
@@ -427,7 +428,7 @@ def gear_snapshots(ci: DataFrame, keys: Sequence[str]) -> DataFrame:
 def talent_snapshots(ci: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per chosen talent with tier, column, the loadout text and the total."""
     chosen = F.filter(F.transform("talents", lambda x, pos: F.struct(pos.alias("pos"), x.alias("t"))), lambda x: x["t"]["spell"] != 0)
-    d = ci.withColumn("__t", chosen).withColumns({
+    d = ci.select(*keys, F.explode(F.array(chosen)).alias("__t")).withColumns({
         "loadout": F.array_join(F.transform("__t", lambda x: x["t"]["spell"].cast("string")), " "), "total_talents": F.size("__t")})
     return d.select(*keys, "loadout", "total_talents", F.explode("__t").alias("x")).select(
         *keys, (F.col("x.pos") + 1).alias("slot"), F.col("x.t.spell").alias("spell"), F.col("x.t.rank").alias("rank"),

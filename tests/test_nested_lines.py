@@ -93,3 +93,10 @@ def test_long_line(spark):
     assert r.items[-1].asDict() == {"item_id": n, "ilvl": 600, "gems": [n - 1, 50], "enchants": [1], "bonus_ids": [5, n - 1]}
     assert r.talents[-1].asDict() == {"id": n - 1, "spell": 2 * n - 2, "rank": 1} and r.auras[-1].asDict() == {"source": f"Player-{n - 1}", "spell": n - 1, "stacks": 2}
     assert took < 20
+
+
+def test_snapshots_read_a_list_once(spark):
+    """Exploding a list implies filters on it, which must not read its text again."""
+    ci = log.combatant_info(log.tokenize(spark.createDataFrame([(0, HEAD + "X")], "line_no long, line string")))
+    for out, pattern, times in ((log.talent_snapshots(ci, ["line_no"]), r"(-?\d+),(-?\d+)", 3), (log.gear_snapshots(ci, ["line_no"]), log._ITEM, 1)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count(pattern) == times
